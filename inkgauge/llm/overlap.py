@@ -89,7 +89,7 @@ def _members(recs: DataFrame, links: DataFrame, side: int, prefix: str) -> DataF
 
 
 def image_pairs(features: DataFrame) -> DataFrame:
-    """(image_id_a, image_id_b, train_image, eval_image): every overlapping pair once.
+    """(image_id_a, image_id_b), smaller first: every overlapping pair once.
 
     Null or empty input gives no pair; rows sent again and copies within a side
     change nothing, as equal rows are merged first.
@@ -97,7 +97,7 @@ def image_pairs(features: DataFrame) -> DataFrame:
     recs = settle(records(features))
     links = settle(class_links(classes(recs)).select(*[f"t_{c}" for c in VALUES], *[f"e_{c}" for c in VALUES]))
     pairs = links.join(_members(recs, links, 0, "t"), [f"t_{c}" for c in VALUES]).join(_members(recs, links, 1, "e"), [f"e_{c}" for c in VALUES])
-    pairs = pairs.select(F.least("t_image", "e_image").alias("image_id_a"), F.greatest("t_image", "e_image").alias("image_id_b"), F.col("t_image").alias("train_image"), F.col("e_image").alias("eval_image"))
+    pairs = pairs.select(F.least("t_image", "e_image").alias("image_id_a"), F.greatest("t_image", "e_image").alias("image_id_b"))
     return pairs.filter("image_id_a < image_id_b").distinct()
 
 

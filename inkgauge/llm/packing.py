@@ -95,7 +95,9 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
             insort(free, (room - size, name))
         elif size == 0:
             insort(free, (room, name))
-    return pd.DataFrame({"limit_id": limit, "doc_id": items["doc_id"], "piece": items["piece"], "pieces": items["pieces"], "tokens": items["tokens"], "container": took})
+    out = {"limit_id": np.full(len(took), limit, dtype=np.int32)}
+    out |= {c: items[c].to_numpy(dtype=t) for c, t in (("doc_id", np.int64), ("piece", np.int32), ("pieces", np.int32), ("tokens", np.int64))}
+    return pd.DataFrame(out | {"container": np.array(took, dtype=object)})
 
 
 def pieces(documents: DataFrame, limits: DataFrame) -> DataFrame:
@@ -103,11 +105,11 @@ def pieces(documents: DataFrame, limits: DataFrame) -> DataFrame:
 
     A token is a byte of the text in UTF-8. A text of more tokens than the
     capacity is cut into full containers and a rest; any other is one piece.
-    Null texts are no items, empty ones are items of no tokens. Limits that are
+    Null texts and texts without an id are no items, empty ones are items of no tokens. Limits that are
     null or not positive are left out; the limit table is a small parameter
     table (one row per container size) and is read on the driver.
     """
-    sized = settle(documents.filter(F.col("text").isNotNull()).select("doc_id", F.octet_length("text").cast("long").alias("size")))
+    sized = settle(documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").cast("long").alias("size")))
     caps = [(r["limit_id"], r["capacity_tokens"]) for r in limits.collect() if r["limit_id"] is not None and (r["capacity_tokens"] or 0) > 0]
     if not caps:
         caps, sized = [(0, 1)], sized.limit(0)
