@@ -20,10 +20,14 @@ def text_rasters(documents: DataFrame, width: int = 128) -> DataFrame:
     last row is dropped, so a raster is rectangular; null and short texts have
     no pixels.
     """
-    # HEX makes two digits a byte; positions come from posexplode, so no text is scanned twice.
-    p = documents.select(F.col("doc_id").alias(ID), F.posexplode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("pos", "hx"), F.octet_length("text").alias("n"))
-    byte = F.conv("hx", 16, 10).cast("int")
-    return p.filter(F.col("pos") < F.expr(f"n div {width} * {width}")).select(ID, (F.col("pos") % width).alias("x"), F.expr(f"pos div {width}").cast("int").alias("y"), F.when(byte <= 32, 240).otherwise(2 * (byte % 64)).cast("int").alias("g"))
+    # Read as Latin-1 a byte is a character, and splitting on nothing is a fast path; positions come from posexplode.
+    # The texts are hashed by image once, before they become 20 times as large as pixels; all groupings and windows by image then need no shuffle.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents = documents.select(F.col("doc_id").alias(ID), "text").repartition(tasks, ID)
+    byte = F.posexplode(F.split(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), "")).alias("pos", "c")
+    p = documents.select(ID, F.octet_length("text").alias("n"), byte)
+    b = F.ascii("c")
+    return p.filter(F.col("pos") < F.expr(f"n div {width} * {width}")).select(ID, (F.col("pos") % width).alias("x"), F.expr(f"pos div {width}").cast("int").alias("y"), F.when(b <= 32, 240).otherwise(2 * (b % 64)).cast("int").alias("g"))
 
 
 def vector_rasters(embeddings: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..functions.constants import FEATURES, PREFLIGHT_FEATURES
 from ..operators import degrade, kernels, models, pixels, rollup, rules
 from ..operators import profile as prof
-from ..session import table
+from ..session import spread, table
 from ..streaming import uploads
 from .oracles import SQL
 
@@ -46,9 +46,9 @@ def text_images(spark, d) -> DataFrame:
         tone = bytes(240 if b <= 32 else 2 * (b % 64) for b in range(256))
         return raw.map(lambda b: None if b is None else bytes(b)[: len(b) // 128 * 128].translate(tone))
 
-    doc = table(spark, d, "documents").filter("octet_length(text) >= 128")
+    doc = spread(table(spark, d, "documents").select("doc_id", "text").filter("octet_length(text) >= 128"), "doc_id")
     height = F.expr("cast(octet_length(text) div 128 as int)")
-    return doc.select(F.col("doc_id").alias("image_id"), F.lit(128).alias("width"), height.alias("height"), F.lit(1).alias("n_channels"), shade(F.encode("text", "UTF-8")).alias("data"), F.octet_length("text").cast("long").alias("file_size"), F.lit("jpeg").alias("format"), F.lit(300.0).alias("density")).repartition(spark.sparkContext.defaultParallelism)
+    return doc.select(F.col("doc_id").alias("image_id"), F.lit(128).alias("width"), height.alias("height"), F.lit(1).alias("n_channels"), shade(F.encode("text", "UTF-8")).alias("data"), F.octet_length("text").cast("long").alias("file_size"), F.lit("jpeg").alias("format"), F.lit(300.0).alias("density"))
 
 
 def _features(spark, d) -> DataFrame:

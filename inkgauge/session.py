@@ -59,3 +59,17 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More tasks for a scan of very few files, before work that is heavy per row.
+
+    A plan that has a shuffle, or at least half as many partitions as there are
+    cores, is left as it is, so a large table is never moved for this. Hashing
+    by a key keeps the result the same when a task is run again.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.toString() or df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)
