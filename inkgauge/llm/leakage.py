@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 EXACT = 12  # consecutive words that make a case
 EDITS = 6  # one edit in so many words is tolerated
 PART = 2  # one half of the item's words at least
@@ -245,6 +247,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         blocks[-1].append((r[0], r[1]))
         size += n
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null and doc_id is not null")
+    slim = spread(slim, "doc_id")
     out = None
     for rows in blocks:
         shared = spark.sparkContext.broadcast(rows)

@@ -21,7 +21,7 @@ MEASURES = ["brightnessAvg", "brightnessStdevMax", "laplacianStdev", "laplacianM
 VALUES = ["width", "height", *MEASURES]
 TOLERANCE = 0.005
 CELL = 8 * TOLERANCE
-#: Training records of one n-gram that a single task compares; more are salted.
+#: Records of a side and n-gram that are compared in one block; more are salted.
 HOT = 4096
 
 
@@ -57,30 +57,39 @@ def _gram(words: list[Column]) -> Column:
     return F.xxhash64("width", "height", *words)
 
 
+def _salted(rows: DataFrame, hot: DataFrame, mine: str, other: str) -> DataFrame:
+    """Rows of a hot n-gram in one of their own side's parts, repeated for each of the other side's."""
+    n = lambda side: F.coalesce(F.col(f"{side}_parts"), F.lit(1))
+    own = F.pmod(F.xxhash64(*[f"{mine}_{c}" for c in VALUES]), n(mine)).cast("int")
+    joined = rows.join(hot, "gram", "left").withColumn(f"{mine}_salt", own)
+    return joined.withColumn(f"{other}_salt", F.explode(F.sequence(F.lit(0), n(other) - 1))).drop("t_parts", "e_parts")
+
+
 def class_links(cls: DataFrame) -> DataFrame:
     """Pairs of a training and an evaluation class that agree in all measures.
 
     Columns t_<value>, e_<value>, t_images, e_images and containment, the share
     of the evaluation record's seven words found in the training record (1.0
-    for every row here, as all are verified). An n-gram with very many training
-    classes is salted, its lookups repeated for each salt.
+    for every row here, as all are verified). An n-gram with very many classes on
+    a side is cut into a grid of blocks of about HOT x HOT comparisons; the table
+    of such n-grams is joined as its written size allows.
     """
     train = cls.filter("side = 0").select(*[F.col(c).alias(f"t_{c}") for c in VALUES], F.col("images").alias("t_images"), _gram([_word(F.col(m), 0.0) for m in MEASURES]).alias("gram"))
-    hot = settle(train.groupBy("gram").count().filter(F.col("count") > HOT).select("gram", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
     probes = cls.filter("side = 1")
     reach = -math.log(1 - TOLERANCE) * (1 + 1e-9) + 1e-12
     for i, m in enumerate(MEASURES):
         v = F.col(m)
         probes = probes.withColumn(f"_w{i}", F.explode(F.array_distinct(F.array(_word(v, -reach), _word(v, reach)))))
     probes = probes.select(*[F.col(c).alias(f"e_{c}") for c in VALUES], F.col("images").alias("e_images"), _gram([F.col(f"_w{i}") for i in range(len(MEASURES))]).alias("gram"))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    train = train.join(hot, "gram", "left").withColumn("salt", F.pmod(F.xxhash64(*[f"t_{c}" for c in VALUES]), parts).cast("int")).drop("parts")
-    probes = probes.join(hot, "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    cells = train.select("gram", F.lit(1).alias("t"), F.lit(0).alias("e")).unionByName(probes.select("gram", F.lit(0).alias("t"), F.lit(1).alias("e"))).groupBy("gram").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+    parts = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / HOT).cast("int")
+    hot = settle(cells.filter((F.greatest("t", "e") > HOT) & (F.least("t", "e") > 0)).select("gram", parts("t").alias("t_parts"), parts("e").alias("e_parts")))
+    train, probes = _salted(train, hot, "t", "e"), _salted(probes, hot, "e", "t")
     near = [F.abs(F.col(f"t_{m}") - F.col(f"e_{m}")) <= TOLERANCE * F.greatest(F.abs(F.col(f"t_{m}")), F.abs(F.col(f"e_{m}"))) for m in MEASURES]
     agree = reduce(lambda a, b: a & b, [F.col("t_width") == F.col("e_width"), F.col("t_height") == F.col("e_height"), *near])
-    hits = train.join(probes, ["gram", "salt"]).filter(agree)
+    hits = train.join(probes, ["gram", "t_salt", "e_salt"]).filter(agree)
     share = (F.lit(2) + reduce(lambda a, b: a + b, [n.cast("int") for n in near])) / F.lit(float(len(VALUES)))
-    return hits.drop("gram", "salt").withColumn("containment", share)
+    return hits.drop("gram", "t_salt", "e_salt").withColumn("containment", share)
 
 
 def _members(recs: DataFrame, links: DataFrame, side: int, prefix: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, spread
 
 #: Words of a run; percent of repeated words from which a text fails.
 RUN, PERCENT = 8, 30
@@ -96,7 +96,7 @@ def measure(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n_words, pa.int64()), pa.array(repeated, pa.int64())], names=["doc_id", "source", "n_words", "repeated"])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, source string, n_words long, repeated long")
+    return spread(slim, "doc_id").mapInArrow(run, "doc_id long, source string, n_words long, repeated long")
 
 
 def hosts(measured: DataFrame) -> DataFrame:
