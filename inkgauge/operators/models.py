@@ -157,6 +157,25 @@ def train(rows: DataFrame, features: list[str], label: str = "label", rounds: in
     return {"trees": trees, "base_score": 0.0, "objective": "reg:squarederror", "feature_names": features, "importances": fitted.featureImportances.toArray().tolist()}
 
 
+def cross_validate(rows: DataFrame, features: list[str], key: str, label: str = "label", folds: int = 5, **options: Any) -> DataFrame:
+    """(fold, n, mae, rmse, r2): each fold of keys scored by a model of the others."""
+    from .rollup import regression_metrics
+
+    y = F.col(label)
+    fold = rows.filter(y.isNotNull() & ~F.isnan(y) & y.between(0.0, 1.0)).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    out = None
+    for k in range(folds):
+        m = train(fold.filter(F.col("fold") != k), features, label, **options)
+        part = regression_metrics(fold.filter(F.col("fold") == k).withColumn("score", scorer(m, features)), label, by=["fold"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def top_features(model: dict, k: int = 10) -> list[tuple[str, float]]:
+    """The k features a trained model leans on most."""
+    return sorted(zip(model["feature_names"], model["importances"], strict=True), key=lambda x: -x[1])[:k]
+
+
 def _node(j: Any, weight: float) -> dict:
     if j.getClass().getSimpleName() == "LeafNode":
         return {"leaf": j.prediction() * weight}

@@ -30,10 +30,9 @@ def text_rasters(documents: DataFrame, width: int = 128) -> DataFrame:
     return p.filter(F.col("pos") < F.expr(f"n div {width} * {width}")).select(ID, (F.col("pos") % width).alias("x"), F.expr(f"pos div {width}").cast("int").alias("y"), F.when(b <= 32, 240).otherwise(2 * (b % 64)).cast("int").alias("g"))
 
 
-def vector_rasters(embeddings: DataFrame) -> DataFrame:
-    """One raster per label: a row per vector in order of vec_id, a pixel per element."""
-    row = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    v = embeddings.withColumn("y", row).select(F.col("label").cast("long").alias(ID), "y", F.posexplode("embedding").alias("x", "v"))
+def vector_rasters(embeddings: DataFrame, rows: int = 64) -> DataFrame:
+    """Rasters of ``rows`` vectors each, by vec_id: a row per vector, a pixel per element."""
+    v = embeddings.select(F.expr(f"vec_id div {rows}").alias(ID), F.expr(f"cast(vec_id % {rows} as int)").alias("y"), F.posexplode("embedding").alias("x", "v"))
     g = F.floor((F.col("v").cast("double") + 0.55) * 230)
     return v.select(ID, "x", "y", F.greatest(F.lit(0), F.least(F.lit(255), g)).cast("int").alias("g"))
 

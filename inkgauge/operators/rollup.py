@@ -130,13 +130,13 @@ def guidance_table(spark) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Seeded order that doesn't depend on partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return df.orderBy(F.md5(F.concat(F.col(key), F.lit(f"#{seed}"))), key)
 
 
-def sorted_by(df: DataFrame, col: str, descending: bool = False) -> DataFrame:
-    """Order by any column, text without case."""
+def sorted_by(df: DataFrame, col: str, descending: bool = False, then: str | None = None) -> DataFrame:
+    """Order by any column, text without case, nulls last; ``then`` settles ties."""
     c = F.lower(col) if dict(df.dtypes)[col] == "string" else F.col(col)
-    return df.orderBy(c.desc() if descending else c.asc())
+    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *([then] if then else []))
 
 
 def first_unlabelled(images: DataFrame, key: str) -> DataFrame:

@@ -25,6 +25,7 @@ class Options:
     penalties: dict[str, float] = field(default_factory=dict)
     pages: str = "1"
     detect_bounds: bool = True
+    boundary: Column | None = None  # a detector of the user's: STRUCT<detected, region, confidence>; thorough mode only
     scorer: Column | None = None
     plugins: dict[str, kernels.Plugin] = field(default_factory=dict)
     plugin_issues: list[Column] = field(default_factory=list)
@@ -60,10 +61,12 @@ class QualityEngine:
         """
         o = self.options
         rows = images
-        if o.detect_bounds:
+        if o.boundary is not None and o.mode == "thorough":
+            rows = rows.withColumn("boundary", o.boundary)
+        elif o.detect_bounds:
             rows = kernels.bounds(rows)
         meta = rules.metadata_metrics(kernels.raster_metrics(rows, o.mode, plugins=o.plugins))
-        if o.detect_bounds:
+        if "boundary" in rows.columns:
             w, h = F.coalesce("boundary.region.width", F.col("width").cast("double")), F.coalesce("boundary.region.height", F.col("height").cast("double"))
             if o.preset == "auto":
                 meta = meta.withColumn("preset", detect_preset(w, h))

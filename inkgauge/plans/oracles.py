@@ -74,8 +74,7 @@ _META_ROWS = f"select image_id, false as slow, {_SHAPE} as preset, width::double
 _TEXT_PX = """hx as (select doc_id as image_id, regexp_extract_all(hex(encode(text)), '..') as b from documents where text is not null),
 px0 as (select image_id, unnest(b) as h, generate_subscripts(b, 1) - 1 as pos, len(b) as n from hx),
 px as materialized (select image_id, (pos % 128)::int as x, (pos // 128)::int as y, (case when ('0x' || h)::int <= 32 then 240 else 2 * (('0x' || h)::int % 64) end)::int as g from px0 where pos < n // 128 * 128)"""
-_VEC_PX = """vec as (select label::bigint as image_id, row_number() over (partition by label order by vec_id) - 1 as y, embedding from embeddings),
-px as materialized (select image_id, (generate_subscripts(embedding, 1) - 1)::int as x, y::int as y, least(255, greatest(0, floor((unnest(embedding)::double + 0.55) * 230)))::int as g from vec)"""
+_VEC_PX = """px as materialized (select vec_id // 64 as image_id, (generate_subscripts(embedding, 1) - 1)::int as x, (vec_id % 64)::int as y, least(255, greatest(0, floor((unnest(embedding)::double + 0.55) * 230)))::int as g from embeddings)"""
 _SIZED = "sized as (select *, max(x) over (partition by image_id) + 1 as w, max(y) over (partition by image_id) + 1 as h from px)"
 _LAP = """three as (select *, g + lag(g) over (partition by image_id, y order by x) + lead(g) over (partition by image_id, y order by x) as s from px),
 nine as (select *, s + lag(s) over (partition by image_id, x order by y) + lead(s) over (partition by image_id, x order by y) as k from three),
@@ -85,6 +84,15 @@ runs as (select image_id, y, min(x) as x0, max(x) as x1, count(*) as area, (min(
 _ROWS = f"""{_VEC_PX}, {_RUNS}, stepped as (select *, case when cy - lag(cy) over (partition by image_id order by cy, label) > 1 then 1 else 0 end as jump from runs where area >= 3),
 lines as (select *, sum(jump) over (partition by image_id order by cy, label rows unbounded preceding)::bigint as row_no from stepped)"""
 
+# A direct transform, row by row and then column by column, of the mean-free windowed raster padded to a power of two.
+_POWER = """v0 as (select vec_id // 64 as image_id, row_number() over (partition by vec_id // 64 order by vec_id) - 1 as y, embedding from embeddings),
+p0 as (select image_id, y, generate_subscripts(embedding, 1) - 1 as x, least(255, greatest(0, floor((unnest(embedding)::double + 0.55) * 230)))::int as g from v0),
+p1 as (select *, avg(g) over (partition by image_id) as mean, max(y) over (partition by image_id) + 1 as h from p0),
+p2 as (select image_id, x, y, h, (2 ** ceil(log2(h)))::int as h2, (g - mean) * 0.5 * (1 - cos(2 * pi() * x / 63)) * 0.5 * (1 - cos(2 * pi() * y / (h - 1))) as v from p1 where h >= 32),
+f1 as (select image_id, y, h2, k, sum(v * cos(2 * pi() * k * x / 64)) as re, -sum(v * sin(2 * pi() * k * x / 64)) as im from p2, range(0, 64) r(k) group by all),
+f2 as (select image_id, h2, k, q, sum(re * cos(2 * pi() * q * y / h2) + im * sin(2 * pi() * q * y / h2)) as re, sum(im * cos(2 * pi() * q * y / h2) - re * sin(2 * pi() * q * y / h2)) as im from (select *, unnest(range(0, h2)) as q from f1) group by all),
+power as (select image_id, re * re + im * im as p, least(k, 64 - k) / 32 as fx, least(q, h2 - q) / (h2 / 2) as fy from f2),
+bins as materialized (select *, sqrt(fx * fx + fy * fy) as r, sum(p) over (partition by image_id) as e, count(*) over (partition by image_id) as n from power)"""
 _PLAIN = "lower(regexp_replace(path, '[\\\\/]+(\\./)?', '/', 'g'))"
 _PART = lambda i: f"nullif(regexp_extract({_PLAIN}, '(^|/)(documents|receipts|cards|photos)/(very-good|good|very-bad|bad|unsorted)/', {i + 1}), '')"
 _SPLIT = """one as (select path, min(label) as label from features where path is not null and label is not null and not isnan(label) group by path),
@@ -152,6 +160,21 @@ SQL = {
         select m.image_id, round(mean, 6) as "brightnessAvg", round(sd, 6) as "brightnessStdevMax", round(fg, 6) as "foregroundRatio", case when h >= 20 then p90::double end as "backgroundP90", case when h >= 20 then round(centre - edge, 6) end as "shadowEdgeCenterDiff",
           case when h >= 100 then round(greatest(z0, z1, z2, z3) - least(z0, z1, z2, z3), 6) end as "zoneBrightnessDiff", round(coalesce(case when b < 0.1 then case when a > 0.5 then 10.0 else 0.0 end else greatest(0, a / b - 1) end, 0), 6) as "fftJpegBlockiness"
         from m join p using (image_id) left join b using (image_id)""",
+    "spectrum_metrics": f"""with {_POWER}, high as (select image_id, sum(p) filter (r > 0.3) / any_value(e) as high from bins group by image_id),
+        ring as (select image_id, least(floor(r * 10), 9) as ring, greatest(median(sqrt(p)), any_value(sqrt(e / n)) * 0.01) * 6 as t, count(*) as c from bins where r >= 0.05 group by all),
+        peak as (select b.image_id, count(*) as peaks from bins b join ring g on b.image_id = g.image_id and least(floor(b.r * 10), 9) = g.ring where b.r >= 0.05 and g.c >= 3 and sqrt(b.p) > g.t group by all),
+        sector as (select image_id, s, coalesce(sum(p) filter (least(floor(atan2(fy, fx) / pi() * 12), 11) = s and r >= 0.05), 0) as en from bins, range(0, 12) t(s) group by all),
+        ratio as (select image_id, max(en) / nullif(median(en), 0) as ratio from sector group by all)
+        select image_id, round(high, 6) as high_freq, coalesce(peaks, 0)::double as peaks, round(ratio, 4) as directional from high left join peak using (image_id) join ratio using (image_id)""",
+    "component_stats": f"""with recursive {_VEC_PX}, {_RUNS}, touch as (select a.image_id, a.label as a, b.label as b from runs a join runs b on a.image_id = b.image_id and abs(a.y - b.y) = 1 and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1),
+        closed(image_id, a, b) as (select image_id, a, b from touch union select image_id, label, label from runs union select c.image_id, c.a, t.b from closed c join touch t on c.image_id = t.image_id and c.b = t.a),
+        part as (select image_id, a, min(b) as root from closed group by all),
+        rim as (select d.image_id, count(*) as outline from px d where g < 128 and (select count(*) from px o where o.image_id = d.image_id and o.g < 128 and abs(o.x - d.x) + abs(o.y - d.y) = 1) < 4 group by 1),
+        c as (select image_id, count(distinct root) as parts from part group by 1), s as (select image_id, count(*) as area from px where g < 128 group by 1)
+        select image_id, parts, area, outline from c join s using (image_id) join rim using (image_id)""",
+    "seeded_shuffle": "select path, row_number() over (order by md5(path || '#7'), path) as place from (select distinct path from path_labels where path is not null) order by place limit 100",
+    "review_sort": "select path, label_id from path_labels order by lower(path) desc nulls last, label_id limit 50",
+    "first_unlabelled": f"with {_LATEST}, f as (select distinct path from features where path is not null), tl(tier, x) as (values ('very-good', 0.87::double), ('good', 0.62), ('bad', 0.37), ('very-bad', 0.12)), j as (select f.path, coalesce(case when l.score >= 0 and l.score <= 1 and not isnan(l.score) then l.score end, a.x, b.x) as label from f left join latest l on f.path = l.path left join tl a on a.tier = lower(trim(l.label)) left join tl b on b.tier = {_PART(2).replace('path', 'f.path')}) select path from j where label is null order by path limit 1",
     "features_fast": _MEANS("fast", FEATURES[:15]),
     "features_thorough": _MEANS("thorough", FEATURES),
     "union_modes": "select mode, count(*) as n, count(distinct image_id) as images, count(case when mode = 'thorough' then textCharShapeCV end) as with_shape from features where mode in ('fast', 'thorough') group by mode",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -237,6 +237,43 @@ def damage_plan(spark, d):
     return degrade.plan_damages(table(spark, d, "features")).select("path", F.concat_ws("+", "damages").alias("damages"), "tier")
 
 
+def vector_images(spark, d) -> DataFrame:
+    """The vector rasters as one binary cell each (64 rows at most)."""
+
+    @F.pandas_udf("binary")
+    def stack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: b"".join(bytes(int(v) for v in x) for x in r))
+
+    e = table(spark, d, "embeddings")
+    shade = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.55) * 230))).cast("int"))
+    by = e.select(F.expr("vec_id div 64").alias("image_id"), "vec_id", shade.alias("g")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "g"))).alias("r"))
+    return by.select("image_id", F.lit(64).alias("width"), F.size("r").alias("height"), F.lit(1).alias("n_channels"), stack(F.col("r.g")).alias("data"))
+
+
+def spectrum_metrics(spark, d):
+    """High-frequency share, peaks and directional ratio by the kernel."""
+    k = kernels.raster_metrics(vector_images(spark, d)).filter("fftHighFreqRatio is not null")
+    return k.select("image_id", F.round("fftHighFreqRatio", 6).alias("high_freq"), F.col("fftSpectralPeaks").alias("peaks"), F.round("directionalEnergyRatio", 4).alias("directional"))
+
+
+def component_stats(spark, d):
+    """Connected dark parts of the vector rasters by the kernel: number, area, outline."""
+
+    @F.pandas_udf("parts long, area long, outline long")
+    def label(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        found = [kernels.components(np.frombuffer(r, dtype=np.uint8).reshape(h, w) < 128) for w, h, r in zip(width, height, data, strict=True)]
+        return pd.DataFrame({"parts": [len(f["area"]) for f in found], "area": [int(f["area"].sum()) for f in found], "outline": [int(f["perimeter"].sum()) for f in found]})
+
+    return vector_images(spark, d).select("image_id", label("width", "height", "data").alias("c")).select("image_id", "c.*").filter("parts > 0")
+
+
+def boundary_detect(spark, d):
+    """Page bounds in the byte rasters; null where there is no clear page."""
+    return kernels.bounds(text_images(spark, d)).select("image_id", "boundary.detected", "boundary.region.x", "boundary.region.y", F.col("boundary.region.width").alias("w"), F.col("boundary.region.height").alias("h"))
+
+
 # ── features and models ──────────────────────────────────────────────────────
 def features_fast(spark, d):
     """Fast part of the vector: mean and presence of each feature."""
@@ -383,6 +420,29 @@ def ocr_confidence(spark, d):
     return rollup.ocr_confidence(words).select("doc_id", "words", _r("median"), "low_words", "fires")
 
 
+def first_unlabelled(spark, d):
+    """The next file to label (a top-1 report)."""
+    return rollup.first_unlabelled(label_precedence_join(spark, d), "path").select("path")
+
+
+def seeded_shuffle(spark, d):
+    """A seeded order of the labelled paths, its first hundred (a top-k report)."""
+    paths = table(spark, d, "path_labels").select("path").filter("path is not null").distinct()
+    first = rollup.shuffled(paths, "path", 7).limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat("path", F.lit("#7"))), "path")))
+
+
+def review_sort(spark, d):
+    """Label records by path without case, last first (a top-k report)."""
+    return rollup.sorted_by(table(spark, d, "path_labels").select("path", "label_id"), "path", descending=True, then="label_id").limit(50)
+
+
+def model_folds(spark, d):
+    """Cross-validated fit of the fast features: r2 per fold."""
+    f = _features(spark, d).filter("mode = 'fast'")
+    return models.cross_validate(f, FEATURES[:15], "path", folds=2, rounds=3, depth=3)
+
+
 # ── streams ──────────────────────────────────────────────────────────────────
 def uploads_windowed(spark, d):
     r = table(spark, d, "results").filter("error is null")
@@ -421,7 +481,7 @@ QUERIES = {
     for f in (
         features_judged, meta_rules_fast, preset_detect, threshold_resolve, score_penalty_override, custom_rule, issue_counts, issues_exploded, guidance_lookup, score_product,
         confidence_band, scorer_fallback, channel_stats, text_contrast, histogram_p90, half_split, edge_center_shadow, quadrant_zones, laplacian_stats, jpeg_blockiness, skew_regression,
-        row_clusters, baseline_deviation, largest_parts, boundary_scan, area_average, color_saturation, scalar_functions, page_selector, kernel_metrics, kernel_exact, raster_check,
+        row_clusters, baseline_deviation, largest_parts, boundary_scan, area_average, color_saturation, scalar_functions, page_selector, spectrum_metrics, component_stats, boundary_detect, first_unlabelled, seeded_shuffle, review_sort, model_folds, kernel_metrics, kernel_exact, raster_check,
         raster_degrade, damage_plan, features_fast, features_thorough, union_modes, tree_score, model_select, model_train, regression_metrics, confusion, tier_metrics, top_worst,
         stratified_split, semi_join_testset, anti_join_trainset, first_labels, preflight_rules, preflight_vs_backend, pages_rollup, tier_summary, tier_rollup, label_counts, label_upsert,
         label_precedence_join, ocr_confidence, uploads_windowed, uploads_stream, judged_stream, p5_found, p5_profile, p5_drift,
