@@ -232,7 +232,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     ``verbatim`` tells whether EXACT words in a row match; other cases follow
     the item with alterations. The stated item set is searched in blocks of
-    ITEM_WORDS words against all texts, so it may have any size. Null and empty
+    ITEM_WORDS words against all texts; it has to fit on the driver. Null and empty
     texts and items match nothing; items of very few words are found by runs
     as short as they are. Repeated items and texts each give their own rows.
     """

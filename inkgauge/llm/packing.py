@@ -30,12 +30,15 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     """(times, {group: slots}) that hold all rounded items.
 
     Each takes the largest size left and fills the rest as full as the sizes
-    left allow (a knapsack over whole tokens), as often as the counts last.
+    left allow (a knapsack over whole tokens; over steps of 1/65536 of a larger
+    capacity, sizes rounded up), as often as the counts last.
     """
+    step = max(1, -(-capacity // 65536))
+    sizes, capacity = [-(-s // step) for s in sizes], capacity // step
     left, out = list(counts), []
     while any(left):
         first = max((g for g in range(len(sizes)) if left[g]), key=lambda g: sizes[g])
-        room = capacity - sizes[first]
+        room = max(0, capacity - sizes[first])
         by = np.full(room + 1, -1, dtype=np.int32)  # the group that first reached a sum
         reach = np.zeros(room + 1, dtype=bool)
         reach[0] = True
@@ -122,7 +125,8 @@ def pieces(documents: DataFrame, limits: DataFrame) -> DataFrame:
 def pack(documents: DataFrame, limits: DataFrame) -> DataFrame:
     """(limit_id, doc_id, piece, pieces, tokens, container): every piece in a container.
 
-    Containers are named within a limit: f… full pieces, c… configurations,
+    What reaches the driver follows GROUPS and the number of limits, never the
+    data. Containers are named within a limit: f… full pieces, c… configurations,
     s… opened for small items. Equal sizes and repeated texts are spread by
     document, so no size makes a task large.
     """

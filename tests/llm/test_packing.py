@@ -54,6 +54,14 @@ def test_configurations_hold_all(seed):
     assert [sum(t * u.get(g, 0) for t, u in made) for g in range(len(sizes))] == counts
 
 
+def test_configurations_of_a_huge_capacity():
+    cap = 10**9 + 7
+    sizes = [cap, cap - 1, cap // 2, cap // 3]
+    made = P.configurations(sizes, [2, 3, 4, 5], cap)
+    assert all(sum(sizes[g] * a for g, a in used.items()) <= cap for _, used in made)
+    assert [sum(t * u.get(g, 0) for t, u in made) for g in range(4)] == [2, 3, 4, 5]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
