@@ -343,8 +343,8 @@ def skew_angle(lap: np.ndarray, edge: float = THRESHOLDS["laplacianEdgeThreshold
     return abs(math.degrees(math.atan((len(x) * float(x @ y) - float(x.sum()) * float(y.sum())) / spread)))
 
 
-def thorough_metrics(image: np.ndarray, is_jpeg: bool = False) -> dict[str, float | None]:
-    """All raster metrics; those that need a larger image are None."""
+def thorough_metrics(image: np.ndarray, is_jpeg: bool = False, keep: dict | None = None) -> dict[str, float | None]:
+    """All raster metrics; those that need a larger image are None. ``keep`` gets the grey raster and the spectrum."""
     flat = on_white(image)
     grey, out = to_grey(flat), fast_metrics(image)
     h, w = grey.shape
@@ -367,6 +367,8 @@ def thorough_metrics(image: np.ndarray, is_jpeg: bool = False) -> dict[str, floa
         means = flat[..., :3].reshape(-1, 3).mean(axis=0)
         out["colorSaturation"] = float((means.max() - means.min()) / 255)
     s = spectrum(grey)
+    if keep is not None:
+        keep |= {"grey": grey, "spectrum": s}
     if s is not None:
         out |= {"fftHighFreqRatio": high_frequency(s), "fftSpectralPeaks": float(spectral_peaks(s)), "directionalEnergyRatio": directional_ratio(s)}
     if is_jpeg:
@@ -405,19 +407,36 @@ RASTER_METRICS = [
 Plugin = Callable[[np.ndarray, Spectrum | None], float | None]
 
 
-def raster_metrics(images: DataFrame, mode: str = "thorough", longest: int = int(THRESHOLDS["analysisMaxPx"]), plugins: dict[str, Plugin] | None = None) -> DataFrame:
+_REGION = pa.struct([(k, pa.float64()) for k in ("x", "y", "width", "height")])
+_BOUNDARY = pa.struct([("detected", pa.bool_()), ("region", _REGION), ("confidence", pa.float64())])
+BOUNDARY = "struct<detected:boolean,region:struct<x:double,y:double,width:double,height:double>,confidence:double>"
+
+
+def _boundary(image: np.ndarray | None) -> dict:
+    """Result row of the page search; an error counts as none found."""
+    try:
+        found = None if image is None else document_bounds(image)
+    except Exception:
+        found = None
+    return {"detected": found is not None, "region": found and {k: float(v) for k, v in found.items()}, "confidence": 1.0 if found else None}
+
+
+def raster_metrics(images: DataFrame, mode: str = "thorough", longest: int = int(THRESHOLDS["analysisMaxPx"]), plugins: dict[str, Plugin] | None = None, find_page: bool = False) -> DataFrame:
     """Metric columns added to rows of (width, height, n_channels, data, …); ``data`` leaves.
 
     ``data`` holds width * height * n_channels bytes, row by row. One narrow
     stage. Metrics follow the image shrunk to ``longest`` pixels. Plugins are
     user functions (grey, spectrum) -> number, one column each; an error in one
-    gives null there and nothing else. A row whose data doesn't fit its size
+    gives null there and nothing else. ``find_page`` adds ``boundary`` in the same
+    pass, so a raster crosses to Python once. A row whose data doesn't fit its size
     gets null metrics and the reason in ``error``.
     """
     plugins = plugins or {}
     names = RASTER_METRICS + list(plugins)
     keep = [f for f in images.schema.fields if f.name != "data" and f.name not in (*names, "error")]
-    schema = T.StructType([*keep, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("error", T.StringType())])
+    extra = [T.StructField("boundary", T._parse_datatype_string(BOUNDARY))] if find_page else []
+    keep = [f for f in keep if not (find_page and f.name == "boundary")]
+    schema = T.StructType([*keep, *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("error", T.StringType()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,27 +446,31 @@ def raster_metrics(images: DataFrame, mode: str = "thorough", longest: int = int
             for i in range(batch.num_rows):
                 w, h, c, raw = (cols[n][i].as_py() for n in ("width", "height", "n_channels", "data"))
                 row: dict = {"error": None}
+                whole = None
                 if raw is None or not w or not h or not c or len(raw) != w * h * c:
                     row["error"] = "raster doesn't fit its size"
                 else:
                     try:
-                        image = np.frombuffer(raw, dtype=np.uint8).reshape((h, w) if c == 1 else (h, w, c))
+                        image = whole = np.frombuffer(raw, dtype=np.uint8).reshape((h, w) if c == 1 else (h, w, c))
                         if max(w, h) > longest:
                             image = np.floor(shrink(image, longest) + 0.5).astype(np.uint8)
-                        row |= thorough_metrics(image, jpeg is not None and jpeg[i].as_py() == "jpeg") if mode == "thorough" else fast_metrics(image)
-                        if plugins:
-                            grey = to_grey(on_white(image))
-                            s = spectrum(grey)
-                            for name, f in plugins.items():
-                                try:
-                                    row[name] = float(f(grey, s))
-                                except Exception:
-                                    row[name] = None
+                        seen: dict = {}
+                        row |= thorough_metrics(image, jpeg is not None and jpeg[i].as_py() == "jpeg", seen) if mode == "thorough" else fast_metrics(image)
+                        for name, f in plugins.items():
+                            try:
+                                grey = seen["grey"] if seen else to_grey(on_white(image))
+                                row[name] = float(f(grey, seen["spectrum"] if seen else spectrum(grey)))
+                            except Exception:
+                                row[name] = None
                     except Exception as e:
                         row["error"] = f"{type(e).__name__}: {e}"
+                if find_page:
+                    row["boundary"] = _boundary(whole)
                 made.append(row)
             arrays = [batch.column(f.name) for f in keep]
             arrays += [pa.array([r.get(n) for r in made], pa.float64()) for n in names] + [pa.array([r["error"] for r in made], pa.string())]
+            if find_page:
+                arrays.append(pa.array([r["boundary"] for r in made], _BOUNDARY))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return images.select(*[f.name for f in keep], "data").mapInArrow(run, schema)
@@ -455,19 +478,13 @@ def raster_metrics(images: DataFrame, mode: str = "thorough", longest: int = int
 
 def bounds(images: DataFrame) -> DataFrame:
     """``boundary`` STRUCT<detected, region, confidence> added; errors count as none found."""
-    kind = "detected boolean, region struct<x:double,y:double,width:double,height:double>, confidence double"
 
-    def find(w, h, c, raw):
-        try:
-            found = document_bounds(np.frombuffer(raw, dtype=np.uint8).reshape((h, w) if c == 1 else (h, w, c)))
-        except Exception:
-            found = None
-        return found
+    def find(w, h, c, raw) -> dict:
+        fits = raw is not None and w == w and len(raw) == w * h * c
+        return _boundary(np.frombuffer(raw, dtype=np.uint8).reshape((int(h), int(w)) if c == 1 else (int(h), int(w), int(c))) if fits else None)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(BOUNDARY.removeprefix("struct<").removesuffix(">"))
     def detect(width: pd.Series, height: pd.Series, n: pd.Series, data: pd.Series) -> pd.DataFrame:
-        got = [find(*r) for r in zip(width, height, n, data, strict=True)]
-        region = [None if g is None else {k: float(v) for k, v in g.items()} for g in got]
-        return pd.DataFrame({"detected": [g is not None for g in got], "region": region, "confidence": [None if g is None else 1.0 for g in got]})
+        return pd.DataFrame([find(*r) for r in zip(width, height, n, data, strict=True)], columns=["detected", "region", "confidence"])
 
     return images.withColumn("boundary", detect("width", "height", "n_channels", "data"))

@@ -63,10 +63,9 @@ class QualityEngine:
         rows = images
         if o.boundary is not None and o.mode == "thorough":
             rows = rows.withColumn("boundary", o.boundary)
-        elif o.detect_bounds:
-            rows = kernels.bounds(rows)
-        meta = rules.metadata_metrics(kernels.raster_metrics(rows, o.mode, plugins=o.plugins))
-        if "boundary" in rows.columns:
+        own = "boundary" in rows.columns
+        meta = rules.metadata_metrics(kernels.raster_metrics(rows, o.mode, plugins=o.plugins, find_page=o.detect_bounds and not own))
+        if "boundary" in meta.columns:
             w, h = F.coalesce("boundary.region.width", F.col("width").cast("double")), F.coalesce("boundary.region.height", F.col("height").cast("double"))
             if o.preset == "auto":
                 meta = meta.withColumn("preset", detect_preset(w, h))

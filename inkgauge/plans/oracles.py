@@ -119,7 +119,7 @@ _CELLS = " union all ".join(
     for c, k in ALL_CHECKS.items()
 )
 _CELL_VIEW = f"cells as materialized (select *, value is not null and isfinite(value) and value >= coalesce(low, value) and value <= coalesce(high, value) as good, not thorough or mode = 'thorough' as due from ({_CELLS}))"
-_WINDOWED = "select time_bucket(interval 1 hour, analyzed_at) as start, preset, count(*) as n, count_if(pass) as passed from results where error is null and analyzed_at is not null group by all"
+_WINDOWED = "select time_bucket(interval 1 hour, analyzed_at) as start, preset, count(*) as n, count_if(pass)::bigint as passed from results where error is null and analyzed_at is not null group by all"
 
 SQL = {
     "features_judged": f"with {_judge(_FEATURE_ROWS)} select row_id, preset, (case when codes = '' then 0 else len(string_split(codes, ',')) end)::int as n_issues, codes, score, pass, confidence from judged",
@@ -172,7 +172,7 @@ SQL = {
         rim as (select d.image_id, count(*) as outline from px d where g < 128 and (select count(*) from px o where o.image_id = d.image_id and o.g < 128 and abs(o.x - d.x) + abs(o.y - d.y) = 1) < 4 group by 1),
         c as (select image_id, count(distinct root) as parts from part group by 1), s as (select image_id, count(*) as area from px where g < 128 group by 1)
         select image_id, parts, area, outline from c join s using (image_id) join rim using (image_id)""",
-    "seeded_shuffle": "select path, row_number() over (order by md5(path || '#7'), path) as place from (select distinct path from path_labels where path is not null) order by place limit 100",
+    "seeded_shuffle": "select path, (row_number() over (order by md5(path || '#7'), path))::int as place from (select distinct path from path_labels where path is not null) order by place limit 100",
     "review_sort": "select path, label_id from path_labels order by lower(path) desc nulls last, label_id limit 50",
     "first_unlabelled": f"with {_LATEST}, f as (select distinct path from features where path is not null), tl(tier, x) as (values ('very-good', 0.87::double), ('good', 0.62), ('bad', 0.37), ('very-bad', 0.12)), j as (select f.path, coalesce(case when l.score >= 0 and l.score <= 1 and not isnan(l.score) then l.score end, a.x, b.x) as label from f left join latest l on f.path = l.path left join tl a on a.tier = lower(trim(l.label)) left join tl b on b.tier = {_PART(2).replace('path', 'f.path')}) select path from j where label is null order by path limit 1",
     "features_fast": _MEANS("fast", FEATURES[:15]),
@@ -181,7 +181,7 @@ SQL = {
     "tree_score": f"with {_SCORED} select row_id, round(score, 6) as score from scored",
     "model_select": f"with {_SCORED} select s.row_id, round(case when foregroundRatio is not null and not isnan(foregroundRatio) then s.score else 1 / (1 + exp(-(case when edgeRatio is null or isnan(edgeRatio) or edgeRatio <= 0.1 then -1 else 1 end))) end, 6) as score from scored s join features f using (row_id)",
     "regression_metrics": f"with {_SCORED} select preset, count(*) as n, round(avg(abs(label - score)), 6) as mae, round(sqrt(avg((label - score) ** 2)), 6) as rmse, round(1 - sum((label - score) ** 2) / (var_pop(label) * count(*)), 6) as r2 from {_GOOD} group by preset",
-    "confusion": f"with {_SCORED} select count_if(label >= 0.5 and score >= 0.5) as tp, count_if(label < 0.5 and score < 0.5) as tn, count_if(label < 0.5 and score >= 0.5) as fp, count_if(label >= 0.5 and score < 0.5) as fn, round(avg(((label >= 0.5) = (score >= 0.5))::int), 6) as accuracy from {_GOOD}",
+    "confusion": f"with {_SCORED} select count_if(label >= 0.5 and score >= 0.5)::bigint as tp, count_if(label < 0.5 and score < 0.5)::bigint as tn, count_if(label < 0.5 and score >= 0.5)::bigint as fp, count_if(label >= 0.5 and score < 0.5)::bigint as fn, round(avg(((label >= 0.5) = (score >= 0.5))::int), 6) as accuracy from {_GOOD}",
     "tier_metrics": f"with {_SCORED} select case when label < 0.25 then 'very-bad' when label < 0.5 then 'bad' when label < 0.75 then 'good' else 'very-good' end as tier, count(*) as n, round(avg(abs(label - score)), 6) as mae, round(avg(((label >= 0.5) = (score >= 0.5))::int), 6) as accuracy from {_GOOD} group by 1",
     "top_worst": f"with {_SCORED} select row_id, label, round(score, 6) as score, round(abs(label - score), 6) as error from {_GOOD} order by round(abs(label - score), 9) desc, row_id limit 5",
     "stratified_split": f"with {_SPLIT} select * from tiered where tier is not null",
@@ -191,12 +191,12 @@ SQL = {
     "preflight_rules": f"with {_PRE} select codes, codes = '' as pass, count(*) as n from quick group by all",
     "preflight_vs_backend": f"with {_PRE}, {_judge(_FEATURE_ROWS)} select distinct image_id from quick where codes <> '' and image_id in (select image_id from judged where slow and pass)",
     "pages_rollup": f"with e as (select result_id, preset, unnest(pageResults) as p from results), g as (select result_id, preset, p.page as page, p.pass as ok, p.score as s from e where p.score >= 0 and p.score <= 1 and not isnan(p.score)), b as (select result_id, count(*)::int as pages, bool_and(ok) as pass, floor(list_reduce(list_prepend(0.0::double, list(s order by page)), lambda a, b: a + b) / count(*) * 100 + 0.5) / 100 as score, floor(min(s) * 100 + 0.5) / 100 as worst from g group by result_id) select result_id, pages, pass, score, worst as \"worstPageScore\", case when abs(score - 0.5) >= 0.2 then 'high' when abs(score - 0.5) >= 0.1 then 'medium' else 'low' end as confidence from b",
-    "tier_summary": f"with r as (select *, {_PART(1)} as category, {_PART(2)} as tier from results) select category, tier, count(*) as n, count_if(error is null and pass) as passed, count_if(error is null and not pass) as failed, count_if(error is not null) as errors, round(min(score) filter (error is null and not isnan(score)), 6) as min_score, round(max(score) filter (error is null and not isnan(score)), 6) as max_score, round(avg(score) filter (error is null and not isnan(score)), 6) as avg_score from r group by category, tier",
-    "tier_rollup": f"with r as (select *, {_PART(1)} as category, {_PART(2)} as tier from results) select category, tier, count(*) as n, count_if(error is null and pass) as passed, count_if(error is not null) as errors from r where category is not null and tier is not null group by rollup (category, tier)",
+    "tier_summary": f"with r as (select *, {_PART(1)} as category, {_PART(2)} as tier from results) select category, tier, count(*) as n, count_if(error is null and pass)::bigint as passed, count_if(error is null and not pass)::bigint as failed, count_if(error is not null)::bigint as errors, round(min(score) filter (error is null and not isnan(score)), 6) as min_score, round(max(score) filter (error is null and not isnan(score)), 6) as max_score, round(avg(score) filter (error is null and not isnan(score)), 6) as avg_score from r group by category, tier",
+    "tier_rollup": f"with r as (select *, {_PART(1)} as category, {_PART(2)} as tier from results) select category, tier, count(*) as n, count_if(error is null and pass)::bigint as passed, count_if(error is not null)::bigint as errors from r where category is not null and tier is not null group by rollup (category, tier)",
     "label_counts": "select lower(trim(label)) as label, count(*) as n, count(score) as scored from path_labels group by 1",
     "label_upsert": f"with {_LATEST} select * from latest",
     "label_precedence_join": f"with {_LATEST}, f as (select distinct path from features where path is not null), tl(tier, x) as (values ('very-good', 0.87::double), ('good', 0.62), ('bad', 0.37), ('very-bad', 0.12)) select f.path, coalesce(case when l.score >= 0 and l.score <= 1 and not isnan(l.score) then l.score end, a.x, b.x) as label from f left join latest l on f.path = l.path left join tl a on a.tier = lower(trim(l.label)) left join tl b on b.tier = {_PART(2).replace('path', 'f.path')}",
-    "ocr_confidence": "with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents), c as (select doc_id, (length(w) * 13 + doc_id) % 101 as k from w) select doc_id, count(*) as words, round(median(k), 6) as median, count_if(k < 60) as low_words, median(k) < 60 as fires from c group by doc_id having count(*) >= 5",
+    "ocr_confidence": "with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents), c as (select doc_id, (length(w) * 13 + doc_id) % 101 as k from w) select doc_id, count(*) as words, round(median(k), 6) as median, count_if(k < 60)::bigint as low_words, median(k) < 60 as fires from c group by doc_id having count(*) >= 5",
     "uploads_windowed": _WINDOWED,
     "judged_stream": f"with {_judge(_FEATURE_ROWS)} select row_id, score, pass from judged",
     "p5_found": f"""with {_CELL_VIEW}, three as (select * from cells where column_name in ('brightnessAvg', 'fftHighFreqRatio', 'zoneSharpness0')),
@@ -204,6 +204,6 @@ SQL = {
         mids as (select column_name, median(share) as share0, median(med) as med0 from loads group by 1)
         select column_name, load_id, 0::bigint as row_id from loads join mids using (column_name) where share > share0 + 0.2 or med < 0.65 * med0 or med > 1.5 * med0 or ds * 4 < n
         union all select distinct column_name, load_id, row_id from three where value is not null and (not good or thorough and mode = 'fast')""",
-    "p5_profile": f"""with {_CELL_VIEW} select column_name, count_if(due) as due, count_if(due and value is null) as nulls, count(distinct value) filter (due and good) as distincts,
-        count_if(due and good) as in_range, min(value) filter (due and good) as low, max(value) filter (due and good) as high, count_if(value is not null and (not good or not due)) as impossible from cells group by 1""",
+    "p5_profile": f"""with {_CELL_VIEW} select column_name, count_if(due)::bigint as due, count_if(due and value is null)::bigint as nulls, count(distinct value) filter (due and good) as distincts,
+        count_if(due and good)::bigint as in_range, min(value) filter (due and good) as low, max(value) filter (due and good) as high, count_if(value is not null and (not good or not due))::bigint as impossible from cells group by 1""",
 }

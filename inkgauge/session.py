@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
     folder of our own is made, and it is removed when the process ends.
     """
-    named = spark.conf.get(_DIR_KEY, None)
+    named = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.inkgauge.own.dir", None)
@@ -32,6 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+_folders: set[str] = set()
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/inkgauge-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    from pyspark import SparkContext
+
+    try:
+        jvm = SparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # the JVM is gone already; the folder's name tells whose it was
+        pass
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -40,7 +63,7 @@ def settle(df: DataFrame) -> DataFrame:
     learns the true size (which is what a broadcast is decided on).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkgauge-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path

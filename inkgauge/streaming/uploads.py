@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules
-from ..session import shared_dir
+from ..session import own_folder
 
 
 def judged(stream: DataFrame, **options) -> DataFrame:
@@ -22,9 +24,7 @@ def pass_rates(results: DataFrame, time: str, passed: str, by: str, window: str
 
 def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, into a table in the shared folder."""
-    import uuid
-
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{own_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

@@ -67,6 +67,10 @@ def test_plugins_degrade_and_preflight(spark):
     df = spark.createDataFrame(rows, "path string, width int, height int, n_channels int, data binary, file_size long, format string, density double")
     got = {r.path: r for r in kernels.raster_metrics(df, plugins={"mine": lambda g, s: g.mean(), "bad": lambda g, s: 1 / 0}).collect()}
     assert abs(got["p"].mine - a.mean()) < 1e-9 and got["p"].bad is None and got["q"].error and got["r"].error
+    found = kernels.bounds(df).collect()
+    assert [r.boundary.detected for r in found] == [False] * 3
+    both = {r.path: r for r in kernels.raster_metrics(df, "fast", find_page=True).collect()}
+    assert both["p"].boundary.region is None and both["r"].error
     damaged = degrade.degrade(df, ["blur", "shrink"]).collect()
     assert damaged[0].width < 600 and damaged[1].width == 9
     quick = {r.path: r for r in thumbnail_metrics(df).collect()}
@@ -74,6 +78,17 @@ def test_plugins_degrade_and_preflight(spark):
     assert [getattr(r, "pass") for r in QualityEngine().preflight(df).collect()][0]
 
 
+def test_page_found_decides_preset(spark):
+    a = np.full((400, 1100), 30, np.uint8)
+    a[40:360, 100:1000] = 220
+    df = spark.createDataFrame([("p", 1100, 400, 1, bytearray(a.tobytes()), 90_000, "png", None)], "path string, width int, height int, n_channels int, data binary, file_size long, format string, density double")
+    r = QualityEngine().check(df).collect()[0]
+    assert r.boundary.detected and r.preset == "receipt"
+    own = F.struct(F.lit(True).alias("detected"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(600.0).alias("width"), F.lit(400.0).alias("height")).alias("region"), F.lit(1.0).alias("confidence"))
+    assert QualityEngine(mode="thorough", boundary=own).check(df).collect()[0].preset == "card"
+    assert QualityEngine(detect_bounds=False, preset="auto").check(df).collect()[0].preset == "receipt"
+
+
 def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([('a "b", c', "card", "fast", 0.5, *([float("nan")] * 42)), ("d", "card", "fast", None, *[float(i) for i in range(42)])], "path string, preset string, mode string, label double, " + ", ".join(f"{c} double" for c in FEATURES))
     files.write_features(rows, str(tmp_path / "f"))
