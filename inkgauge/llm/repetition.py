@@ -29,7 +29,11 @@ BLOCK = 400_000
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case, without the lines that begin with ``-``."""
-    return _WORD.findall(_LINE.sub("", text).lower())
+    words = _WORD.findall(_LINE.sub("", text).lower())
+    if text.isascii():
+        return words
+    # Beyond ASCII the pattern also takes signs like a superscript two, which are no letters.
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

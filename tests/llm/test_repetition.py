@@ -1,11 +1,11 @@
 import random
-import re
 
 from inkgauge.llm import repetition as R
 
 
 def slow(text):
-    words = re.findall(r"[^\W\d_]+", "\n".join(x for x in (text or "").split("\n") if not x.startswith("-")).lower())
+    kept = "\n".join(x for x in (text or "").split("\n") if not x.startswith("-")).lower()
+    words = "".join(c if c.isalpha() else " " for c in kept).split()
     marks, seen = [False] * len(words), set()
     for i in range(len(words) - 7):
         run = tuple(words[i : i + 8])
@@ -17,7 +17,7 @@ def slow(text):
 
 def texts(seed):
     r = random.Random(seed)
-    out = [None, "", "-a b c", "one two", "a " * 9, "x1y2 " * 30, "été Ünï " * 12, "-\n- x\nb c d e f g h i j\n" * 3, "\r\n-a\r\nb"]
+    out = [None, "", "-a b c", "one two", "a " * 9, "x1y2 " * 30, "été Ünï " * 12, "a²b m³ ½c 中文 " * 9, "-\n- x\nb c d e f g h i j\n" * 3, "\r\n-a\r\nb"]
     for _ in range(60):
         words = [r.choice("abc") * r.randrange(1, 3) for _ in range(r.randrange(5, 80))]
         for _ in range(r.randrange(3)):
