@@ -8,6 +8,7 @@ repeat and are combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,17 +44,36 @@ _SLOW = {
 ALL_CHECKS = _FAST | {c: Check(low, high, True) for c, (low, high) in _SLOW.items()}
 
 
+def columns_of(df: DataFrame) -> tuple[dict[str, Check], list[str]]:
+    """Every column of ``df``: those that are numbers or times with their check, and the texts.
+
+    A column without a range of its own may hold any finite number. Numbers are
+    compared as DOUBLE, so integers are told apart up to 2^53.
+    """
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    known = ALL_CHECKS | {"label": _SHARE}
+    return {c: known.get(c, Check()) for c in df.columns if c not in texts}, texts
+
+
 def _mode() -> Column:
     return F.lower(F.trim(F.coalesce(F.col("mode"), F.lit(""))))
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """The column as DOUBLE; times without zone are seconds since 1970, whatever the session's zone."""
+    v = F.col(c)
+    if df.schema[c].dataType.typeName() != "timestamp_ntz":
+        return v.cast("double")
+    return F.unix_date(v.cast("date")) * 86400.0 + F.hour(v) * 3600 + F.minute(v) * 60 + F.extract(F.lit("second"), v).cast("double")
+
+
 def cells(df: DataFrame, checks: dict[str, Check], extra: list[str]) -> DataFrame:
     """One row per cell: (extra, load_id, mode, column_name, value as DOUBLE).
 
     Infinite bounds never exclude a finite value. Only the named columns are
     read; clashing names of other columns don't matter.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"), F.lit(float(k.low)).alias("low"), F.lit(float(k.high)).alias("high"), F.lit(k.thorough).alias("thorough")) for c, k in checks.items()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _number(df, c).alias("value"), F.lit(float(k.low)).alias("low"), F.lit(float(k.high)).alias("high"), F.lit(k.thorough).alias("thorough")) for c, k in checks.items()])
     return df.select(*extra, "load_id", _mode().alias("_mode"), F.explode(pairs).alias("c")).select(*extra, "load_id", "_mode", "c.*")
 
 
@@ -79,6 +99,12 @@ def value_counts(df: DataFrame, checks: dict[str, Check] = CHECKS) -> DataFrame:
     return c.groupBy("column_name", "load_id", "value", _in_range(F.col("value")).alias("good")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column_name, load_id, value as STRING, n) of text columns; null values have a row too."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in names])
+    return df.select("load_id", F.explode(pairs).alias("c")).groupBy("c.column_name", "load_id", "c.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def medians(counts: DataFrame, group: list[str]) -> DataFrame:
     """(group, median) of counted values: the middle, or the mean of the two middles."""
     n = counts.groupBy(*group).agg(F.sum("n").alias("n"))
@@ -138,27 +164,49 @@ def profile(df: DataFrame, checks: dict[str, Check]) -> DataFrame:
     )
 
 
-def drift(df: DataFrame, checks: dict[str, Check] = CHECKS, bins: int = 10) -> DataFrame:
+def drift(df: DataFrame, checks: dict[str, Check] = CHECKS, bins: int = 10, texts: Sequence[str] = ()) -> DataFrame:
     """(column_name, load_id, n, psi, chi_square): each load against all others before it together.
 
-    Bins are ``bins`` equal steps of the column's whole range in the table (they
-    need no sort); the reference is the sum of the earlier loads. Empty bins
-    count as half a value. The first load has no reference and gives no row.
+    Bins of a number are ``bins`` equal steps of the column's whole range in the
+    table (they need no sort); each value of a text column is a bin of its own
+    once it has occurred. The reference is the sum of the earlier loads. Empty
+    bins count as half a value. The first load has no reference and gives no
+    row. Nulls are left out; ``load_profile`` has them.
     """
-    counts = settle(value_counts(df, checks).filter("good").select("column_name", "load_id", "value", "n"))
-    span = counts.groupBy("column_name").agg(F.min("value").alias("a"), F.max("value").alias("z"))
+    c = cells(df, checks, []).filter(_due() & _in_range(F.col("value"))).select("column_name", "load_id", "value")
+    span = settle(c.groupBy("column_name").agg(F.min("value").alias("a"), F.max("value").alias("z")))
     step = F.when(F.col("z") > F.col("a"), F.least(F.floor((F.col("value") - F.col("a")) / (F.col("z") - F.col("a")) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = counts.join(span, "column_name").groupBy("column_name", "load_id").agg(*[F.sum(F.when(step == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(bins)])
-    earlier = Window.partitionBy("column_name").orderBy("load_id").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [f"b{i}" for i in range(bins)]
-    t = binned.select("column_name", "load_id", *cols, *[F.sum(c).over(earlier).alias(f"r{c}") for c in cols]).filter("rb0 is not null")
-    here = [F.greatest(F.col(c).cast("double"), F.lit(0.5)) for c in cols]
-    there = [F.greatest(F.col(f"r{c}").cast("double"), F.lit(0.5)) for c in cols]
-    n, m = sum(here[1:], here[0]), sum(there[1:], there[0])
-    psi = sum(((h / n - r / m) * F.log((h / n) / (r / m)) for h, r in zip(here, there, strict=True)), F.lit(0.0))
-    chi = sum(((h - r * n / m) * (h - r * n / m) / (r * n / m) for h, r in zip(here, there, strict=True)), F.lit(0.0))
-    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    return t.select("column_name", "load_id", total.alias("n"), F.round(psi, 6).alias("psi"), F.round(chi, 3).alias("chi_square"))
-
-
-__all__ = ["ALL_CHECKS", "CHECKS", "Check", "bad_cells", "bad_loads", "drift", "found", "load_profile", "medians", "profile", "value_counts"]
+    counts = c.join(F.broadcast(span), "column_name").groupBy("column_name", "load_id", step.cast("string").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    if texts:
+        counts = counts.unionByName(text_counts(df, texts).filter("value is not null").withColumnRenamed("value", "bin"))
+    return _shifts(settle(counts), list(checks), bins)
+
+
+def _shifts(counts: DataFrame, numbers: list[str], bins: int) -> DataFrame:
+    """``drift`` from (column_name, load_id, bin, n); the columns in ``numbers`` have ``bins`` bins.
+
+    Bins of a load with equal counts here and before give the same term, so
+    they are counted by the pair. A bin that a load leaves empty has no row;
+    it is counted from the load it was filled in up to the next that fills it,
+    and loads aren't multiplied by values.
+    """
+    at = Window.partitionBy("column_name").orderBy("load_id")
+    loads = settle(counts.select("column_name", "load_id").distinct().withColumn("_at", F.row_number().over(at)))
+    own = Window.partitionBy("column_name", "bin").orderBy("_at")
+    t = join_same(counts, loads, ["column_name", "load_id"]).select("column_name", "bin", "n", "_at")
+    before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = settle(t.select("column_name", "_at", F.col("n").alias("h"), before.alias("r"), F.lead("_at").over(own).alias("_to")).groupBy("column_name", "_at", "h", "r", "_to").agg(F.count(F.lit(1)).alias("k")))
+    gone = t.groupBy("column_name", F.col("_at").alias("_from"), (F.col("h") + F.col("r")).alias("r"), "_to").agg(F.sum("k").alias("k"))
+    gone = gone.join(loads.select("column_name", "_at"), "column_name").filter("_at > _from and (_to is null or _at < _to)")
+    pairs = t.select("column_name", "_at", "h", "r", "k").unionByName(gone.select("column_name", "_at", F.lit(0).cast("long").alias("h"), "r", "k"))
+    pairs = pairs.filter("_at > 1").groupBy("column_name", "_at", "h", "r").agg(F.sum("k").alias("k"))
+    unseen = pairs.filter(F.col("column_name").isin(numbers)).groupBy("column_name", "_at").agg((F.lit(bins) - F.sum("k")).alias("k")).select("column_name", "_at", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("r"), "k")
+    pairs = settle(pairs.unionByName(unseen))
+    k, here, there = F.col("k"), F.greatest(F.col("h").cast("double"), F.lit(0.5)), F.greatest(F.col("r").cast("double"), F.lit(0.5))
+    sums = pairs.groupBy("column_name", "_at").agg(F.sum(k * here).alias("sh"), F.sum(k * there).alias("sr"), F.sum(k * F.col("h")).alias("n"))
+    share, past, due = here / F.col("sh"), there / F.col("sr"), there * F.col("sh") / F.col("sr")
+    out = pairs.join(sums, ["column_name", "_at"]).groupBy("column_name", "_at").agg(F.first("n").alias("n"), F.sum(k * (share - past) * F.log(share / past)).alias("psi"), F.sum(k * (here - due) * (here - due) / due).alias("chi"))
+    return out.join(loads, ["column_name", "_at"]).select("column_name", "load_id", "n", F.round("psi", 6).alias("psi"), F.round("chi", 3).alias("chi_square"))
+
+
+__all__ = ["ALL_CHECKS", "CHECKS", "Check", "bad_cells", "bad_loads", "columns_of", "drift", "found", "load_profile", "medians", "profile", "text_counts", "value_counts"]

@@ -473,7 +473,10 @@ def p5_profile(spark, d):
 
 
 def p5_drift(spark, d):
-    return prof.drift(table(spark, d, "features"))
+    """Changes between loads of every column: numbers by steps of their range, texts by value."""
+    f = table(spark, d, "features")
+    checks, texts = prof.columns_of(f)
+    return prof.drift(f, checks, texts=texts)
 
 
 QUERIES = {

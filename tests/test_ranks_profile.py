@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -72,3 +73,43 @@ def test_profile_drift_and_empty(spark):
     assert p["zoneSharpness0"].impossible == 1 and p["fftHighFreqRatio"].due == 300 and p["fftHighFreqRatio"].impossible == 1
     d = {(r.column_name, r.load_id): r.psi for r in P.drift(df).collect()}
     assert d["brightnessAvg", 2] == 0 and d["brightnessAvg", 3] > 1
+
+
+def brute_drift(by_load, keys):
+    """{load: (n, psi, chi)} from {load: [bin, ...]}; ``keys`` are fixed bins, else those seen so far."""
+    out, past = {}, []
+    for load in sorted(by_load):
+        now = by_load[load]
+        if past:
+            ks = keys or sorted(set(past) | set(now))
+            h, r = [max(now.count(k), 0.5) for k in ks], [max(past.count(k), 0.5) for k in ks]
+            n, m = sum(h), sum(r)
+            out[load] = (len(now), sum((a / n - b / m) * math.log((a / n) / (b / m)) for a, b in zip(h, r, strict=True)), sum((a - b * n / m) ** 2 / (b * n / m) for a, b in zip(h, r, strict=True)))
+        past = past + now
+    return out
+
+
+def test_drift_of_every_column(spark):
+    r = random.Random(5)
+    rows = [(i, 1 + i // 120, "thorough", r.uniform(0, 1 if i < 360 else 0.3), "abc"[r.randrange(3)] if i < 240 else r.choice("cdd"), f"p{r.randrange(90)}" if i % 7 else None, 50.0 + i % 9) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, load_id int, mode string, label double, source string, path string, dpi double")
+    checks, texts = P.columns_of(df)
+    assert set(checks) | set(texts) == set(df.columns) and checks["label"] == P.Check(0, 1) and checks["dpi"] == P.ALL_CHECKS["dpi"]
+    got = {(x.column_name, x.load_id): x for x in P.drift(df, checks, texts=texts).collect()}
+    assert {c for c, _ in got} == set(df.columns) and len(got) == 7 * 4
+    for i, c in ((0, "row_id"), (3, "label"), (4, "source"), (5, "path"), (6, "dpi")):
+        own = [(x[1], x[i]) for x in rows if x[i] is not None]
+        low, high = min(v for _, v in own), max(v for _, v in own)
+        binned = {}
+        for load, v in own:
+            binned.setdefault(load, []).append(v if isinstance(v, str) else min(int((v - low) / (high - low) * 10), 9))
+        for load, (n, psi, chi) in brute_drift(binned, None if c in texts else range(10)).items():
+            x = got[c, load]
+            assert x.n == n and abs(x.psi - psi) < 1e-5 and abs(x.chi_square - chi) < 1e-2, (c, load)
+    assert got["source", 3].psi > 1 and got["label", 4].psi > 0.5
+
+
+def test_times_are_numbers(spark):
+    df = spark.sql("select 1L as row_id, 1 as load_id, 'fast' as mode, timestamp_ntz'1970-01-02 03:04:05.25' as loaded_at")
+    checks, _ = P.columns_of(df)
+    assert {x.column_name: x.value for x in P.cells(df, checks, []).collect()}["loaded_at"] == 86400 + 3 * 3600 + 4 * 60 + 5.25
