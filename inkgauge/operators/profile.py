@@ -164,6 +164,33 @@ def profile(df: DataFrame, checks: dict[str, Check]) -> DataFrame:
     )
 
 
+def text_profile(counts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, due, nulls, distincts, low_text, high_text) from ``text_counts``; every value is in range."""
+    v, n = F.col("value"), F.col("n")
+    by = counts.groupBy(*group, "value").agg(F.sum("n").alias("n"))
+    return by.groupBy(*group).agg(F.sum("n").alias("due"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"), F.count("value").alias("distincts"), F.min("value").alias("low_text"), F.max("value").alias("high_text"))
+
+
+def profile_all(df: DataFrame) -> DataFrame:
+    """``profile`` of every column of ``df``; text columns have their first and last value in low_text and high_text."""
+    checks, texts = columns_of(df)
+    out = profile(df, checks)
+    if texts:
+        text = text_profile(text_counts(df, texts), ["column_name"]).withColumns({"in_range": F.col("due") - F.col("nulls"), "impossible": F.lit(0).cast("long")})
+        out = out.unionByName(text, allowMissingColumns=True)
+    return out
+
+
+def loads_all(df: DataFrame) -> DataFrame:
+    """``load_profile`` of every column of ``df`` and each load, texts as in ``profile_all``."""
+    checks, texts = columns_of(df)
+    out = load_profile(settle(value_counts(df, checks)))
+    if texts:
+        text = text_profile(text_counts(df, texts), ["column_name", "load_id"]).withColumn("in_range", F.col("due") - F.col("nulls"))
+        out = out.unionByName(text.withColumnRenamed("distincts", "distinct_in_range"), allowMissingColumns=True)
+    return out
+
+
 def drift(df: DataFrame, checks: dict[str, Check] = CHECKS, bins: int = 10, texts: Sequence[str] = ()) -> DataFrame:
     """(column_name, load_id, n, psi, chi_square): each load against all others before it together.
 
@@ -209,4 +236,4 @@ def _shifts(counts: DataFrame, numbers: list[str], bins: int) -> DataFrame:
     return out.join(loads, ["column_name", "_at"]).select("column_name", "load_id", "n", F.round("psi", 6).alias("psi"), F.round("chi", 3).alias("chi_square"))
 
 
-__all__ = ["ALL_CHECKS", "CHECKS", "Check", "bad_cells", "bad_loads", "columns_of", "drift", "found", "load_profile", "medians", "profile", "text_counts", "value_counts"]
+__all__ = ["ALL_CHECKS", "CHECKS", "Check", "bad_cells", "bad_loads", "columns_of", "drift", "found", "load_profile", "loads_all", "medians", "profile", "profile_all", "text_counts", "text_profile", "value_counts"]

@@ -119,6 +119,13 @@ _CELLS = " union all ".join(
     for c, k in ALL_CHECKS.items()
 )
 _CELL_VIEW = f"cells as materialized (select *, value is not null and isfinite(value) and value >= coalesce(low, value) and value <= coalesce(high, value) as good, not thorough or mode = 'thorough' as due from ({_CELLS}))"
+_OTHERS = " union all ".join(
+    f"select '{c}' as column_name, load_id, row_id, lower(trim(coalesce(mode, ''))) as mode, {v}::double as value, {a} as low, {z} as high, false as thorough from features"
+    for c, v, a, z in [("row_id", "row_id", "null", "null"), ("image_id", "image_id", "null", "null"), ("label", "label", "0", "1"), ("load_id", "load_id", "null", "null"), ("loaded_at", "epoch_us(loaded_at) / 1e6", "null", "null")]
+)
+_EVERY = _CELL_VIEW.replace(_CELLS, f"{_CELLS} union all {_OTHERS}")
+_TEXTS = "texts as (" + " union all ".join(f"select '{c}' as column_name, load_id, {c} as value from features" for c in ("path", "preset", "mode", "source", "split")) + ")"
+_TEXT_LINE = "count(*) as due, count_if(value is null)::bigint as nulls, count(value) as in_range, {} null::double as low, null::double as high, min(value) as low_text, max(value) as high_text"
 _WINDOWED = "select time_bucket(interval 1 hour, analyzed_at) as start, preset, count(*) as n, count_if(pass)::bigint as passed from results where error is null and analyzed_at is not null group by all"
 
 SQL = {
@@ -206,4 +213,10 @@ SQL = {
         union all select distinct column_name, load_id, row_id from three where value is not null and (not good or thorough and mode = 'fast')""",
     "p5_profile": f"""with {_CELL_VIEW} select column_name, count_if(due)::bigint as due, count_if(due and value is null)::bigint as nulls, count(distinct value) filter (due and good) as distincts,
         count_if(due and good)::bigint as in_range, min(value) filter (due and good) as low, max(value) filter (due and good) as high, count_if(value is not null and (not good or not due))::bigint as impossible from cells group by 1""",
+    "p5_columns": f"""with {_EVERY}, {_TEXTS} select column_name, count_if(due)::bigint as due, count_if(due and value is null)::bigint as nulls, count_if(due and good)::bigint as in_range, count(distinct value) filter (due and good) as distincts,
+        min(value) filter (due and good) as low, max(value) filter (due and good) as high, null::varchar as low_text, null::varchar as high_text, count_if(value is not null and (not good or not due))::bigint as impossible from cells group by 1
+        union all select column_name, {_TEXT_LINE.format('count(distinct value),')}, 0 from texts group by 1""",
+    "p5_loads": f"""with {_EVERY}, {_TEXTS} select column_name, load_id, count(*) as due, count_if(value is null)::bigint as nulls, count_if(good)::bigint as in_range, count(distinct value) filter (good) as distinct_in_range,
+        min(value) filter (good) as low, max(value) filter (good) as high, null::varchar as low_text, null::varchar as high_text, median(value) filter (good) as median from cells where due group by 1, 2
+        union all select column_name, load_id, {_TEXT_LINE.format('count(distinct value),')}, null from texts group by 1, 2""",
 }

@@ -468,10 +468,20 @@ def p5_found(spark, d):
 
 
 def p5_profile(spark, d):
-    """Every column of the feature table, with the ranges that the definitions give."""
+    """The 42 features, with the ranges that the definitions give; ``p5_columns`` has every column."""
     return prof.profile(table(spark, d, "features"), prof.ALL_CHECKS)
 
 
+def p5_columns(spark, d):
+    """Every column of the feature table over all loads."""
+    return prof.profile_all(table(spark, d, "features"))
+
+
+def p5_loads(spark, d):
+    """Every column of the feature table by load: null counts, distincts, ranges, medians."""
+    return prof.loads_all(table(spark, d, "features"))
+
+
 def p5_drift(spark, d):
     """Changes between loads of every column: numbers by steps of their range, texts by value."""
     f = table(spark, d, "features")
@@ -487,7 +497,7 @@ QUERIES = {
         row_clusters, baseline_deviation, largest_parts, boundary_scan, area_average, color_saturation, scalar_functions, page_selector, spectrum_metrics, component_stats, boundary_detect, first_unlabelled, seeded_shuffle, review_sort, model_folds, kernel_metrics, kernel_exact, raster_check,
         raster_degrade, damage_plan, features_fast, features_thorough, union_modes, tree_score, model_select, model_train, regression_metrics, confusion, tier_metrics, top_worst,
         stratified_split, semi_join_testset, anti_join_trainset, first_labels, preflight_rules, preflight_vs_backend, pages_rollup, tier_summary, tier_rollup, label_counts, label_upsert,
-        label_precedence_join, ocr_confidence, uploads_windowed, uploads_stream, judged_stream, p5_found, p5_profile, p5_drift,
+        label_precedence_join, ocr_confidence, uploads_windowed, uploads_stream, judged_stream, p5_found, p5_profile, p5_columns, p5_loads, p5_drift,
     )
 }
 

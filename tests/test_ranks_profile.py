@@ -113,3 +113,15 @@ def test_times_are_numbers(spark):
     df = spark.sql("select 1L as row_id, 1 as load_id, 'fast' as mode, timestamp_ntz'1970-01-02 03:04:05.25' as loaded_at")
     checks, _ = P.columns_of(df)
     assert {x.column_name: x.value for x in P.cells(df, checks, []).collect()}["loaded_at"] == 86400 + 3 * 3600 + 4 * 60 + 5.25
+
+
+def test_profile_of_every_column_and_load(spark):
+    rows = [(1, 1, "fast", 0.5, "a"), (2, 1, "thorough", 1.5, None), (3, 2, "fast", None, "b"), (4, 2, "fast", 0.25, "b"), (5, 2, None, 0.75, "")]
+    df = spark.createDataFrame(rows, "row_id long, load_id int, mode string, label double, preset string")
+    p = {x.column_name: x for x in P.profile_all(df).collect()}
+    assert set(p) == set(df.columns)
+    assert (p["label"].due, p["label"].nulls, p["label"].in_range, p["label"].low, p["label"].high, p["label"].impossible) == (5, 1, 3, 0.25, 0.75, 1)
+    assert (p["preset"].nulls, p["preset"].distincts, p["preset"].low_text, p["preset"].high_text) == (1, 3, "", "b")
+    by = {(x.column_name, x.load_id): x for x in P.loads_all(df).collect()}
+    assert len(by) == 10 and (by["label", 2].due, by["label", 2].nulls, by["label", 2].median) == (3, 1, 0.5)
+    assert (by["preset", 1].nulls, by["preset", 2].distinct_in_range, by["mode", 2].nulls) == (1, 2, 1)
