@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CATEGORY_PRESETS, GUIDANCE, PRESETS, THRESHOLDS
 from ..functions.scalar import confidence, half_up, label_tier, threshold, tier_label
+from .ranks import positions
 
 
 def pages(judged: DataFrame, doc: str = "doc_id", page: str = "page", overrides: dict | None = None) -> DataFrame:
@@ -133,6 +134,12 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key), F.lit(f"#{seed}"))), key)
 
 
+def shuffle_places(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Every row with its ``place`` from 1 in the order of ``shuffled``; ``key`` is unique."""
+    placed = positions(df, [], [F.md5(F.concat(F.col(key), F.lit(f"#{seed}"))).asc(), F.col(key).asc()], "place")
+    return placed.withColumn("place", F.col("place") + 1)
+
+
 def sorted_by(df: DataFrame, col: str, descending: bool = False, then: str | None = None) -> DataFrame:
     """Order by any column, text without case, nulls last; ``then`` settles ties."""
     c = F.lower(col) if dict(df.dtypes)[col] == "string" else F.col(col)

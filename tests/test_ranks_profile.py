@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import statistics
@@ -5,6 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from inkgauge.operators import profile as P
+from inkgauge.operators import rollup
 from inkgauge.operators.ranks import order_statistics, positions
 
 
@@ -125,3 +127,10 @@ def test_profile_of_every_column_and_load(spark):
     by = {(x.column_name, x.load_id): x for x in P.loads_all(df).collect()}
     assert len(by) == 10 and (by["label", 2].due, by["label", 2].nulls, by["label", 2].median) == (3, 1, 0.5)
     assert (by["preset", 1].nulls, by["preset", 2].distinct_in_range, by["mode", 2].nulls) == (1, 2, 1)
+
+
+def test_shuffle_places_every_row(spark):
+    paths = [f"a/{i}.jpg" for i in range(731)]
+    got = rollup.shuffle_places(spark.createDataFrame([(p,) for p in paths], "path string"), "path", 7).collect()
+    order = sorted(paths, key=lambda p: (hashlib.md5(f"{p}#7".encode()).hexdigest(), p))
+    assert sorted((x.place, x.path) for x in got) == list(enumerate(order, 1))
