@@ -140,10 +140,20 @@ def shuffle_places(df: DataFrame, key: str, seed: int) -> DataFrame:
     return placed.withColumn("place", F.col("place") + 1)
 
 
+def _sort_key(df: DataFrame, col: str, descending: bool) -> Column:
+    c = F.lower(col) if dict(df.dtypes)[col] == "string" else F.col(col)
+    return c.desc_nulls_last() if descending else c.asc_nulls_last()
+
+
 def sorted_by(df: DataFrame, col: str, descending: bool = False, then: str | None = None) -> DataFrame:
     """Order by any column, text without case, nulls last; ``then`` settles ties."""
-    c = F.lower(col) if dict(df.dtypes)[col] == "string" else F.col(col)
-    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *([then] if then else []))
+    return df.orderBy(_sort_key(df, col, descending), *([then] if then else []))
+
+
+def sorted_places(df: DataFrame, col: str, then: str, descending: bool = False) -> DataFrame:
+    """Every row with its ``place`` from 1 in the order of ``sorted_by``; ``then`` is unique."""
+    placed = positions(df, [], [_sort_key(df, col, descending), F.col(then).asc()], "place")
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def first_unlabelled(images: DataFrame, key: str) -> DataFrame:

@@ -182,6 +182,7 @@ SQL = {
     "seeded_shuffle": "select path, (row_number() over (order by md5(path || '#7'), path))::int as place from (select distinct path from path_labels where path is not null) order by place limit 100",
     "shuffle_places": "select path, row_number() over (order by md5(path || '#7'), path) as place from (select distinct path from path_labels where path is not null)",
     "review_sort": "select path, label_id from path_labels order by lower(path) desc nulls last, label_id limit 50",
+    "review_places": "select path, label_id, row_number() over (order by lower(path) desc nulls last, label_id) as place from path_labels",
     "first_unlabelled": f"with {_LATEST}, f as (select distinct path from features where path is not null), tl(tier, x) as (values ('very-good', 0.87::double), ('good', 0.62), ('bad', 0.37), ('very-bad', 0.12)), j as (select f.path, coalesce(case when l.score >= 0 and l.score <= 1 and not isnan(l.score) then l.score end, a.x, b.x) as label from f left join latest l on f.path = l.path left join tl a on a.tier = lower(trim(l.label)) left join tl b on b.tier = {_PART(2).replace('path', 'f.path')}) select path from j where label is null order by path limit 1",
     "features_fast": _MEANS("fast", FEATURES[:15]),
     "features_thorough": _MEANS("thorough", FEATURES),

@@ -438,10 +438,15 @@ def shuffle_places(spark, d):
 
 
 def review_sort(spark, d):
-    """Label records by path without case, last first (a top-k report)."""
+    """The first fifty of ``review_places`` (a top-k report)."""
     return rollup.sorted_by(table(spark, d, "path_labels").select("path", "label_id"), "path", descending=True, then="label_id").limit(50)
 
 
+def review_places(spark, d):
+    """Label records by path without case, last first: every record with its place."""
+    return rollup.sorted_places(table(spark, d, "path_labels").select("path", "label_id"), "path", "label_id", descending=True)
+
+
 def model_folds(spark, d):
     """Cross-validated fit of the fast features: r2 per fold."""
     f = _features(spark, d).filter("mode = 'fast'")
@@ -499,7 +504,7 @@ QUERIES = {
     for f in (
         features_judged, meta_rules_fast, preset_detect, threshold_resolve, score_penalty_override, custom_rule, issue_counts, issues_exploded, guidance_lookup, score_product,
         confidence_band, scorer_fallback, channel_stats, text_contrast, histogram_p90, half_split, edge_center_shadow, quadrant_zones, laplacian_stats, jpeg_blockiness, skew_regression,
-        row_clusters, baseline_deviation, largest_parts, boundary_scan, area_average, color_saturation, scalar_functions, page_selector, spectrum_metrics, component_stats, boundary_detect, first_unlabelled, seeded_shuffle, shuffle_places, review_sort, model_folds, kernel_metrics, kernel_exact, raster_check,
+        row_clusters, baseline_deviation, largest_parts, boundary_scan, area_average, color_saturation, scalar_functions, page_selector, spectrum_metrics, component_stats, boundary_detect, first_unlabelled, seeded_shuffle, shuffle_places, review_sort, review_places, model_folds, kernel_metrics, kernel_exact, raster_check,
         raster_degrade, damage_plan, features_fast, features_thorough, union_modes, tree_score, model_select, model_train, regression_metrics, confusion, tier_metrics, top_worst,
         stratified_split, semi_join_testset, anti_join_trainset, first_labels, preflight_rules, preflight_vs_backend, pages_rollup, tier_summary, tier_rollup, label_counts, label_upsert,
         label_precedence_join, ocr_confidence, uploads_windowed, uploads_stream, judged_stream, p5_found, p5_profile, p5_columns, p5_loads, p5_drift,

@@ -134,3 +134,13 @@ def test_shuffle_places_every_row(spark):
     got = rollup.shuffle_places(spark.createDataFrame([(p,) for p in paths], "path string"), "path", 7).collect()
     order = sorted(paths, key=lambda p: (hashlib.md5(f"{p}#7".encode()).hexdigest(), p))
     assert sorted((x.place, x.path) for x in got) == list(enumerate(order, 1))
+
+
+def test_sorted_places_of_every_row(spark):
+    r = random.Random(9)
+    rows = [(r.choice([None, "B", "b", "a/x", "A/y", "c"]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, id long")
+    for down in (True, False):
+        named = sorted(sorted((x for x in rows if x[0] is not None), key=lambda x: x[1]), key=lambda x: x[0].lower(), reverse=down)
+        order = [i for _, i in named] + [i for p, i in rows if p is None]
+        assert [x.id for x in sorted(rollup.sorted_places(df, "path", "id", down).collect(), key=lambda x: x.place)] == order
