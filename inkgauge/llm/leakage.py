@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text (problem 7).
 
 Each shard (a block of training texts) gets a suffix array over its words; all
-test suffixes are binary-searched in it, which yields every verbatim match with
-its length and place. The array is sparse: a training suffix is in it only if
+test suffixes are binary-searched in it, which yields every verbatim match of
+EXACT words; ``places`` has the longest one of each case with its length and
+place. The array is sparse: a training suffix is in it only if
 its first words are a gram of some test item, as no other suffix can match.
 Items leak verbatim (EXACT words in a row) or altered; altered copies have
 verbatim seeds too, and the few candidates are then aligned exactly.
@@ -28,6 +29,7 @@ WINDOW = 32  # words of a suffix that the array sorts by
 SHARD = 1_000_000  # words of a shard
 ITEM_WORDS = 2_000_000  # words of items that one scan looks for
 PAIRS = 1_000_000  # matches looked at together
+PLACE = ("words", "item_offset", "text_offset")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -77,6 +79,19 @@ def follows(item: np.ndarray, doc: np.ndarray) -> bool:
     return False
 
 
+def longest_run(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
+    """(words, item offset, text offset) of the longest common run, the first in the text and then in the item."""
+    best = (0, 0, 0)
+    ends = np.zeros(len(doc) + 1, dtype=np.int32)
+    for row, w in enumerate(item.tolist()):
+        ends[1:] = np.where(doc == w, ends[:-1] + 1, 0)
+        at = int(ends.argmax())
+        n = int(ends[at])
+        if n and (n, -(at - n)) > (best[0], -best[2]):
+            best = (n, row + 1 - n, at - n)
+    return best
+
+
 class Items:
     """The test side: words numbered from 1, every suffix, and the grams to look for."""
 
@@ -227,15 +242,8 @@ def _candidates(items: Items, i: int, suffixes, lo, hi, places, doc_of, begins)
     return out
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, verbatim): every text that holds part of an item, whole texts.
-
-    ``verbatim`` tells whether EXACT words in a row match; other cases follow
-    the item with alterations. The stated item set is searched in blocks of
-    ITEM_WORDS words against all texts; it has to fit on the driver. Null and empty
-    texts and items match nothing; items of very few words are found by runs
-    as short as they are. Repeated items and texts each give their own rows.
-    """
+def _hits(documents: DataFrame, eval_items: DataFrame, located: bool) -> DataFrame:
+    """(doc_id, item_id, verbatim) of each text's cases, with PLACE if ``located``."""
     spark = documents.sparkSession
     blocks: list[list] = [[]]
     size = 0
@@ -259,7 +267,11 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
             def flush() -> pa.RecordBatch:
                 hits = list(search(items, docs)) if docs else []
-                made = pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _, _ in hits], pa.int64()), pa.array([items.ids[i] for _, i, _ in hits], pa.int64()), pa.array([run > 0 for _, _, run in hits], pa.bool_())], names=["doc_id", "item_id", "verbatim"])
+                cols = {"doc_id": pa.array([ids[d] for d, _, _ in hits], pa.int64()), "item_id": pa.array([items.ids[i] for _, i, _ in hits], pa.int64()), "verbatim": pa.array([run > 0 for _, _, run in hits], pa.bool_())}
+                if located:
+                    runs = [longest_run(items.words[i], np.array([items.number.get(x, 0) for x in docs[d]], dtype=np.int64)) for d, i, _ in hits]
+                    cols |= {c: pa.array([r[k] for r in runs], pa.int32()) for k, c in enumerate(PLACE)}
+                made = pa.RecordBatch.from_pydict(cols)
                 ids.clear(), docs.clear()
                 return made
 
@@ -274,9 +286,31 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
                     total += len(w)
             yield flush()
 
-        part = slim.mapInArrow(run, "doc_id long, item_id long, verbatim boolean")
+        part = slim.mapInArrow(run, "doc_id long, item_id long, verbatim boolean" + "".join(f", {c} int" for c in PLACE) * located)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"))
+    return out
+
+
+def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, verbatim): every text that holds part of an item, whole texts.
+
+    ``verbatim`` tells whether EXACT words in a row match; other cases follow
+    the item with alterations. The stated item set is searched in blocks of
+    ITEM_WORDS words against all texts; it has to fit on the driver. Null and empty
+    texts and items match nothing; items of very few words are found by runs
+    as short as they are. Repeated items and texts each give their own rows.
+    """
+    return _hits(documents, eval_items, False).groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"))
+
+
+def places(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, verbatim, words, item_offset, text_offset): the cases of ``leaks``
+    with the longest run of words that text and item share, and where it begins
+    in both, in words from 0; the first in the text, then in the item, among equals.
+    """
+    best = F.max(F.struct("words", -F.col("text_offset"), -F.col("item_offset"), "item_offset", "text_offset"))
+    by = _hits(documents, eval_items, True).groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), best.alias("b"))
+    return by.select("doc_id", "item_id", "verbatim", *[F.col(f"b.{c}") for c in PLACE])
 
 
 def without_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:

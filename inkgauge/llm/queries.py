@@ -63,6 +63,11 @@ def p7_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_places(spark, d):
+    """Every case with its longest verbatim match and where that begins in item and text, in words."""
+    return leakage.places(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_clean(spark, d):
     return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "source")
 
@@ -75,7 +80,7 @@ def p8_hosts(spark, d):
     return repetition.hosts(repetition.measure(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentiles, p3_found, p3_cutoffs, p4_found, p4_balance, p4_assign, p6_found, p6_fill, p7_found, p7_clean, p8_found, p8_hosts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentiles, p3_found, p3_cutoffs, p4_found, p4_balance, p4_assign, p6_found, p6_fill, p7_found, p7_places, p7_clean, p8_found, p8_hosts)}
 
 _FINITE = " and ".join(f'"{c}" is not null and isfinite("{c}")' for c in overlap.VALUES)
 _COLS = ", ".join(f'"{c}"' for c in overlap.VALUES)

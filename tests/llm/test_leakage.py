@@ -94,3 +94,27 @@ def test_empty_and_clean(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
     assert L.leaks(none_d, i).count() == 0 and L.leaks(d, none_i).count() == 0
     assert L.without_leaks(d, i).count() + L.leaks(d, i).select("doc_id").distinct().count() == 10
+
+
+def slow_run(a, b):
+    best = (0, 0, 0)
+    for j in range(len(b)):
+        for i in range(len(a)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, j)
+    return best
+
+
+def test_places_of_cases(spark):
+    docs, items = corpus(11, 60)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = L.places(d, i).collect()
+    cases = {(r.doc_id, r.item_id, r.verbatim) for r in got}
+    assert len(got) == len(cases) > 0 and cases == set(map(tuple, L.leaks(d, i).collect()))
+    for r in got:
+        a, b = L.words_of(dict(items)[r.item_id]), L.words_of(dict(docs)[r.doc_id])
+        assert (r.words, r.item_offset, r.text_offset) == slow_run(a, b)
+        assert not r.verbatim or r.words >= L.EXACT
