@@ -97,17 +97,36 @@ def _members(recs: DataFrame, links: DataFrame, side: int, prefix: str) -> DataF
     return recs.filter(F.col("side") == side).join(wanted, VALUES, "left_semi").select(F.col("image_id").alias(f"{prefix}_image"), *[F.col(c).alias(f"{prefix}_{c}") for c in VALUES])
 
 
+def _sided_pairs(features: DataFrame) -> DataFrame:
+    """(t_image, e_image): a training image and an evaluation image with agreeing records; may repeat."""
+    recs = settle(records(features))
+    links = settle(class_links(classes(recs)).select(*[f"t_{c}" for c in VALUES], *[f"e_{c}" for c in VALUES]))
+    pairs = links.join(_members(recs, links, 0, "t"), [f"t_{c}" for c in VALUES]).join(_members(recs, links, 1, "e"), [f"e_{c}" for c in VALUES])
+    return pairs.select("t_image", "e_image").filter("t_image <> e_image")
+
+
 def image_pairs(features: DataFrame) -> DataFrame:
     """(image_id_a, image_id_b), smaller first: every overlapping pair once.
 
     Null or empty input gives no pair; rows sent again and copies within a side
     change nothing, as equal rows are merged first.
     """
-    recs = settle(records(features))
-    links = settle(class_links(classes(recs)).select(*[f"t_{c}" for c in VALUES], *[f"e_{c}" for c in VALUES]))
-    pairs = links.join(_members(recs, links, 0, "t"), [f"t_{c}" for c in VALUES]).join(_members(recs, links, 1, "e"), [f"e_{c}" for c in VALUES])
-    pairs = pairs.select(F.least("t_image", "e_image").alias("image_id_a"), F.greatest("t_image", "e_image").alias("image_id_b"))
-    return pairs.filter("image_id_a < image_id_b").distinct()
+    pairs = _sided_pairs(features).select(F.least("t_image", "e_image").alias("image_id_a"), F.greatest("t_image", "e_image").alias("image_id_b"))
+    return pairs.distinct()
+
+
+def _owners(features: DataFrame) -> DataFrame:
+    split = F.lower(F.trim(F.col("split")))
+    return features.filter(split.isin("validation", "test") & F.col("image_id").isNotNull()).select("image_id", split.alias("split"), F.lower(F.trim(F.col("source"))).alias("source")).distinct()
+
+
+def pair_counts(features: DataFrame) -> DataFrame:
+    """(split, source, pairs): pairs of ``image_pairs`` per split and source of
+    their evaluation image; 0 where no image of them occurs in train. An image
+    of several splits or sources counts in each."""
+    key = F.struct(F.least("t_image", "e_image"), F.greatest("t_image", "e_image"))
+    pairs = _sided_pairs(features).select(F.col("e_image").alias("image_id"), key.alias("pair"))
+    return _owners(features).join(pairs, "image_id", "left").groupBy("split", "source").agg(F.countDistinct("pair").alias("pairs"))
 
 
 def report(features: DataFrame) -> DataFrame:
@@ -117,10 +136,8 @@ def report(features: DataFrame) -> DataFrame:
     recs = settle(records(features))
     links = class_links(classes(recs)).select(*[F.col(f"e_{c}").alias(c) for c in VALUES]).distinct()
     hit = recs.filter("side = 1").join(links, VALUES, "left_semi").select("image_id").distinct().withColumn("hit", F.lit(1))
-    split = F.lower(F.trim(F.col("split")))
-    owners = features.filter(split.isin("validation", "test") & F.col("image_id").isNotNull()).select("image_id", split.alias("split"), F.lower(F.trim(F.col("source"))).alias("source")).distinct()
-    counted = owners.join(hit, "image_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("images"), F.sum(F.coalesce("hit", F.lit(0))).alias("overlapping"))
+    counted = _owners(features).join(hit, "image_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("images"), F.sum(F.coalesce("hit", F.lit(0))).alias("overlapping"))
     return counted
 
 
-__all__ = ["MEASURES", "VALUES", "records", "classes", "class_links", "image_pairs", "report"]
+__all__ = ["MEASURES", "VALUES", "records", "classes", "class_links", "image_pairs", "pair_counts", "report"]

@@ -18,6 +18,11 @@ def p1_report(spark, d):
     return overlap.report(table(spark, d, "features"))
 
 
+def p1_pairs(spark, d):
+    """The number of overlapping pairs per split and source of the evaluation image."""
+    return overlap.pair_counts(table(spark, d, "features"))
+
+
 def _sketches(spark, d):
     f = table(spark, d, "features").select(F.lower(F.trim("preset")).alias("preset"), "load_id", *FEATURES)
     return settle(percentiles.sketches(f, ["preset", "load_id"], FEATURES))
@@ -80,7 +85,7 @@ def p8_hosts(spark, d):
     return repetition.hosts(repetition.measure(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_percentiles, p3_found, p3_cutoffs, p4_found, p4_balance, p4_assign, p6_found, p6_fill, p7_found, p7_places, p7_clean, p8_found, p8_hosts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_pairs, p2_percentiles, p3_found, p3_cutoffs, p4_found, p4_balance, p4_assign, p6_found, p6_fill, p7_found, p7_places, p7_clean, p8_found, p8_hosts)}
 
 _FINITE = " and ".join(f'"{c}" is not null and isfinite("{c}")' for c in overlap.VALUES)
 _COLS = ", ".join(f'"{c}"' for c in overlap.VALUES)
@@ -108,6 +113,8 @@ SQL = {
     "p1_found": f"with {_PAIRS} select distinct least(t_id, e_id) as image_id_a, greatest(t_id, e_id) as image_id_b from pairs",
     "p1_report": f"""with {_PAIRS}, owners as (select distinct image_id, lower(trim(split)) as split, lower(trim(source)) as source from features where lower(trim(split)) in ('validation', 'test') and image_id is not null)
         select split, source, count(*) as images, sum((image_id in (select e_id from pairs))::int)::bigint as overlapping from owners group by all""",
+    "p1_pairs": f"""with {_PAIRS}, owners as (select distinct image_id, lower(trim(split)) as split, lower(trim(source)) as source from features where lower(trim(split)) in ('validation', 'test') and image_id is not null)
+        select split, source, count(distinct least(t_id, e_id) || '-' || greatest(t_id, e_id)) as pairs from owners left join pairs on e_id = image_id group by all""",
     "p3_found": f"with {_TAKEN} select result_id from taken t join cut c on t.source = c.source and t.preset = c.preset where t.score >= c.cutoff",
     "p3_cutoffs": f"with {_TAKEN} select c.source, c.preset, c.keep_percent, c.n, c.cutoff, (select count(*) from taken t where t.source = c.source and t.preset = c.preset and t.score >= c.cutoff) as kept from cut c",
     "p4_found": f"""with recursive {_PATHS},

@@ -91,6 +91,14 @@ class Spectrum:
         return np.arctan2(y[:, None], x[None, :])
 
 
+def fft1d(values: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """Transform of a row whose length is a power of two; the inverse scales by 1/n."""
+    n = len(values)
+    if n < 1 or n & (n - 1):
+        raise ValueError("the length must be a power of two")
+    return np.fft.ifft(values) if inverse else np.fft.fft(values)
+
+
 def spectrum(grey: np.ndarray, side: int | None = SPECTRUM_SIDE) -> Spectrum | None:
     """Power of the mean-free, Hann-windowed, zero-padded raster; None below 32 pixels."""
     g = shrink(grey, side) if side else grey.astype(float)

@@ -68,3 +68,11 @@ def test_empty_and_extra_columns(spark):
     assert overlap.image_pairs(f).count() == 0 and overlap.report(f).count() == 0
     one = frame(spark, random_rows(60, 3)).withColumns({"gram": F.lit(1), "side": F.lit("x"), "salt": F.lit(2), "images": F.lit(0), "t_width": F.lit(0)})
     assert set(map(tuple, overlap.image_pairs(one).select("image_id_a", "image_id_b").collect())) == brute(random_rows(60, 3))
+
+
+def test_pair_counts_per_split_and_source(spark):
+    same = [100.0, 80.0] + [10.0] * len(overlap.MEASURES)
+    other = [100.0, 80.0] + [99.0] * len(overlap.MEASURES)
+    rows = [(1, 1, "train", "a", 0.5, *same), (2, 2, "train", "a", 0.5, *same), (3, 3, "test", "B ", 0.5, *same), (4, 4, "validation", "b", 0.5, *same), (5, 5, "test", "b", 0.5, *same), (6, 6, "test", None, 0.5, *other), (7, 3, "test", "b", 0.5, *same)]
+    got = {(r.split, r.source): r.pairs for r in overlap.pair_counts(frame(spark, rows)).collect()}
+    assert got == {("test", "b"): 4, ("validation", "b"): 2, ("test", None): 0}

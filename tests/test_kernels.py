@@ -140,3 +140,10 @@ def test_damages_are_seeded_and_do_something(name):
         assert one.dtype == np.uint8 and one.ndim == a.ndim and (one == degrade.DAMAGES[name](a, 0.5, degrade.generator("p", name, 1))).all()
         if not (name == "desaturate" and a.ndim == 2):
             assert one.shape != a.shape or (one != a).any()
+
+
+def test_fft1d_and_inverse():
+    x = np.random.default_rng(4).normal(size=16) + 1j * np.arange(16)
+    k = np.arange(16)
+    direct = (x * np.exp(-2j * np.pi * np.outer(k, k) / 16)).sum(axis=1)
+    assert np.allclose(K.fft1d(x), direct) and np.allclose(K.fft1d(K.fft1d(x), inverse=True), x)
