@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -317,12 +319,21 @@ def model_select(spark, d):
     return table(spark, d, "features").select("row_id", F.round(models.select_scorer(bundle), 6).alias("score"))
 
 
+def _model_sets(f) -> dict:
+    """Rows and columns that each model learns from; the preflight model takes what fast rows have of its columns."""
+    fast = f.filter("mode = 'fast'")
+    return {"fast": (fast, FEATURES[:15]), "thorough": (f.filter("mode = 'thorough'"), FEATURES), "preflight": (fast, [c for c in PREFLIGHT_FEATURES if c in f.columns])}
+
+
 def model_train(spark, d):
-    """Boosted trees on the fast rows that aren't held out, scored on those that are."""
-    f = _features(spark, d).filter("mode = 'fast'").withColumn("split", F.lower(F.trim("split")))
-    m = models.train(f.filter("split = 'train'"), FEATURES[:15], rounds=5, depth=3)
-    scored = f.filter("split <> 'train'").withColumn("score", models.scorer(m, FEATURES[:15])).filter(F.col("label").between(0.0, 1.0))
-    return rollup.regression_metrics(scored)
+    """Boosted trees (100 of depth 4) of the three models on the rows that aren't held out, scored on those that are."""
+    f = _features(spark, d).withColumn("split", F.lower(F.trim("split")))
+    parts = []
+    for name, (rows, names) in _model_sets(f).items():
+        m = models.train(rows.filter("split = 'train'"), names, rounds=100, depth=4)
+        scored = rows.filter("split <> 'train'").withColumn("score", models.scorer(m, names)).filter(F.col("label").between(0.0, 1.0))
+        parts.append(rollup.regression_metrics(scored).withColumn("model", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _scored(spark, d):
@@ -448,9 +459,9 @@ def review_places(spark, d):
 
 
 def model_folds(spark, d):
-    """Cross-validated fit of the fast features: r2 per fold."""
-    f = _features(spark, d).filter("mode = 'fast'")
-    return models.cross_validate(f, FEATURES[:15], "path", folds=2, rounds=3, depth=3)
+    """Cross-validated fit (5 folds) of the three models at full size: r2 per fold."""
+    sets = _model_sets(_features(spark, d)).items()
+    return reduce(DataFrame.unionByName, [models.cross_validate(rows, names, "path", folds=5, rounds=100, depth=4).withColumn("model", F.lit(name)) for name, (rows, names) in sets])
 
 
 # ── streams ──────────────────────────────────────────────────────────────────

@@ -145,3 +145,26 @@ def test_pages_rollup(spark):
     r = rollup.pages(one).collect()[0]
     assert (r.score, r.worstPageScore, getattr(r, "pass"), r.preset, r.confidence) == (0.77, 0.6, True, "document", "high")
     assert len(r.pageResults) == 3 and all(i.page is not None for i in r.issues) and len(r.issues) == 2
+
+
+def test_models_are_trained_at_full_size(spark, monkeypatch):
+    import os
+
+    from inkgauge.plans import queries
+
+    d = os.environ.get("INKGAUGE_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    made = []
+
+    def train(rows, features, label="label", rounds=20, depth=4, seed=42):
+        made.append((len(features), rounds, depth))
+        return {"trees": [[{"leaf": 0.5}]], "base_score": 0.0, "objective": "reg:squarederror"}
+
+    monkeypatch.setattr(queries.models, "train", train)
+    got = queries.model_train(spark, d).collect()
+    assert made == [(15, 100, 4), (42, 100, 4), (7, 100, 4)] and {r.model for r in got} == {"fast", "thorough", "preflight"}
+    made.clear()
+    got = queries.model_folds(spark, d).collect()
+    assert made == [(15, 100, 4)] * 5 + [(42, 100, 4)] * 5 + [(7, 100, 4)] * 5
+    assert {(r.model, r.fold) for r in got} == {(m, k) for m in ("fast", "thorough", "preflight") for k in range(5)}
