@@ -14,7 +14,7 @@ ID = "image_id"
 
 
 def text_rasters(documents: DataFrame, width: int = 128) -> DataFrame:
-    """Pixels of byte rasters: the UTF-8 bytes of each whole text laid out in rows of ``width``.
+    """Pixels of byte rasters: the UTF-8 bytes of each text laid out in full rows of ``width``.
 
     A byte up to 32 is paper (240), another is 2 * (byte % 64). An incomplete
     last row is dropped, so a raster is rectangular; null and short texts have
