@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import FEATURES, GUIDANCE, PREFLIGHT
+from ..functions.constants import FEATURES, GUIDANCE, PREFLIGHT, PRESET_INDEX
 from ..functions.scalar import bits_per_pixel, confidence, detect_preset, half_up, present, threshold
 
 Limit = Callable[[str], Column]
@@ -64,23 +64,29 @@ RULES = [
     Rule("inconsistent-char-size", "textGeometry", "textCharSizeCV", "charSizeCVMax", 0.7, True, True),
     Rule("distorted-char-shapes", "textGeometry", "textCharShapeCV", "charShapeCVMax", 0.65, True, True),
     Rule("tilted", "skew", "skewAngle", "skewAngleMax", 0.85, True, True),
-    Rule("grayscale-in-color", "colorDepth", "colorSaturation", "colorSaturationMin", 0.97, False, True, also=lambda t: _m("channelCount") >= 3),
+    Rule("grayscale-in-color", "colorDepth", "colorSaturation", "colorSaturationMin", 0.97, False, True, also=lambda t: (_m("channelCount") >= 3) & ~_m("_grey_space")),
     Rule("fft-blur", "fftBlur", "fftHighFreqRatio", "fftBlurHighFreqMin", 0.6, False, True),
     Rule("fft-noise", "fftNoise", "fftHighFreqRatio", "fftNoiseHighFreqMax", 0.7, True, True),
     Rule("fft-moire", "fftMoire", "fftSpectralPeaks", "fftMoirePeaksMax", 0.7, True, True),
     Rule("jpeg-artifacts", "fftJpegArtifact", "fftJpegBlockiness", "fftJpegGridMax", 0.8, True, True, also=lambda t: _m("isJpeg") == 1),
     Rule("directional-blur", "directionalBlur", "directionalEnergyRatio", "directionalBlurRatioMax", 0.65, True, True),
 ]
+OCR_METRICS = ["ocrMedianConfidence", "ocrWords"]
 OCR_RULE = Rule("low-ocr-confidence", "ocrConfidence", "ocrMedianConfidence", "ocrConfidenceMin", 0.6, False, also=lambda t: _m("ocrWords") >= 5)
 
 
-def _issue(rule: Rule, limit: Limit, penalties: dict[str, float], mode: Column) -> Column:
+def _fires(rule: Rule, limit: Limit, mode: Column) -> Column:
     value, t = _m(rule.metric), limit(rule.limit)
     fires = (value > t) if rule.above else (value < t)
     if rule.thorough:
-        fires = fires & (mode == "thorough")
+        fires = (mode == "thorough") & fires
     if rule.also:
         fires = fires & rule.also(limit)
+    return F.coalesce(fires, F.lit(False))
+
+
+def _issue(rule: Rule, fires: Column, limit: Limit, penalties: dict[str, float]) -> Column:
+    value, t = _m(rule.metric), limit(rule.limit)
     text = F.concat(F.lit(f"{rule.metric} is "), F.round(value, 3).cast("string"), F.lit(" with a limit of "), t.cast("string"))
     body = F.struct(
         F.lit(rule.analyzer).alias("analyzer"), F.lit(rule.code).alias("code"), F.lit(GUIDANCE[rule.code]).alias("guidance"), text.alias("message"),
@@ -89,14 +95,6 @@ def _issue(rule: Rule, limit: Limit, penalties: dict[str, float], mode: Column)
     return F.when(fires, body)
 
 
-def issues(mode: Column, preset: Column, overrides: dict | None = None, penalties: dict | None = None, ocr: bool = False, extra: list[Column] = ()) -> Column:
-    """Array of the issues that fire; ``extra`` are issue structs of user rules (null where quiet)."""
-    limit: Limit = lambda name: threshold(name, preset, overrides)
-    rules = RULES + ([OCR_RULE] if ocr else [])
-    made = [_issue(r, limit, penalties or {}, mode) for r in rules]
-    return F.array_compact(F.array(*made, *extra)).cast(ISSUE)
-
-
 def custom_issue(fires: Column, analyzer: str, value: Column, limit: Column, penalty: float, code: str = "custom") -> Column:
     """Issue of a user rule; unknown codes get the general advice."""
     return F.when(fires, F.struct(
@@ -118,23 +116,59 @@ def final_score(default: Column, scorer: Column | None = None) -> Column:
     return half_up(default)
 
 
+def rules_of(ocr: bool = False) -> list[Rule]:
+    return RULES + ([OCR_RULE] if ocr else [])
+
+
 def judge(metrics: DataFrame, preset: str | Column = "auto", mode: str | Column = "fast", overrides: dict | None = None, penalties: dict | None = None, scorer: Column | None = None, ocr: bool = False, extra: list[Column] = ()) -> DataFrame:
-    """Metric rows with preset, issues, score, pass and confidence added.
+    """Metric rows with preset, presetIdx, fired, issues, codes, n_issues, score, pass and confidence added.
 
     ``preset`` 'auto' takes the row's own ``preset`` (trimmed, lower case) where
-    it names one, else the shape of the image decides. One projection, no
-    shuffle. Null metrics fire no rule, so an empty row passes with score 1.
+    it names one, else the shape of the image decides. ``extra`` are issue
+    structs of user rules (null where quiet). No shuffle. Null metrics fire no
+    rule, so an empty row passes with score 1. Conditions are evaluated once,
+    into the bits of ``fired``; score, codes and numbers are read off the bits
+    in generated code, and the structs of ``issues`` are only built where they are selected.
+    A column ``space`` of 'b-w' or 'grey' keeps the colour rule quiet.
     """
-    metrics = metrics.withColumns({c: present(F.col(c).cast("double")) for c in FEATURES if c in metrics.columns} | {c: F.lit(None).cast("double") for c in FEATURES if c not in metrics.columns})
+    names = [*FEATURES, *(OCR_METRICS if ocr else [])]
+    metrics = metrics.withColumns({c: present(F.col(c).cast("double")) for c in names if c in metrics.columns} | {c: F.lit(None).cast("double") for c in names if c not in metrics.columns})
     if isinstance(preset, str) and preset == "auto":
         own = F.lower(F.trim(F.col("preset"))) if "preset" in metrics.columns else F.lit(None).cast("string")
         preset = F.when(own.isin("document", "receipt", "card"), own).otherwise(detect_preset(F.col("width"), F.col("height")))
     preset = F.lit(preset) if isinstance(preset, str) else preset
     mode = F.lit(mode) if isinstance(mode, str) else mode
-    judged = metrics.withColumn("preset", preset).withColumn("issues", issues(mode, F.col("preset"), overrides, penalties, ocr, list(extra)))
-    judged = judged.withColumn("score", final_score(product(F.col("issues")), scorer))
-    limit = threshold("passThreshold", F.col("preset"), overrides)
-    return judged.withColumn("pass", F.col("score") >= limit).withColumn("confidence", confidence(F.col("score"), limit))
+    space = F.coalesce(F.lower("space").isin("b-w", "grey"), F.lit(False)) if "space" in metrics.columns else F.lit(False)
+    rules, penalties = rules_of(ocr), penalties or {}
+    limit: Limit = lambda name: threshold(name, F.col("preset"), overrides)
+    rows = metrics.withColumns({"preset": preset, "_mode": mode, "_grey_space": space})
+    index = F.coalesce("presetIdx", *[F.when(F.col("preset") == p, F.lit(float(i))) for p, i in PRESET_INDEX.items()])
+    mask = F.lit(0).cast("long")
+    for i, r in enumerate(rules):
+        mask = mask + F.when(_fires(r, limit, F.col("_mode")), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumns({"presetIdx": index, "fired": mask, "_extra": F.array_compact(F.array(*extra)).cast(ISSUE) if extra else F.array().cast(ISSUE)})
+    bit = lambda i: F.col("fired").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    found = F.array_compact(F.array(*[_issue(r, bit(i), limit, penalties) for i, r in enumerate(rules)])).cast(ISSUE)
+    factors = F.lit(1.0)
+    for i, r in enumerate(rules):
+        factors = factors * F.when(bit(i), F.lit(float(penalties.get(r.analyzer, r.penalty)))).otherwise(F.lit(1.0))
+    codes = F.concat_ws(",", *[F.when(bit(i), F.lit(r.code)) for i, r in enumerate(rules)], *([F.col("_extra.code")] if extra else []))
+    count = F.bit_count("fired")
+    if extra:
+        found, count = F.concat(found, F.col("_extra")), count + F.size("_extra")
+        factors = F.aggregate("_extra", factors, lambda a, i: a * i["penalty"])
+    judged = rows.withColumns({"issues": found, "codes": codes, "n_issues": count, "score": final_score(factors, scorer)})
+    top = threshold("passThreshold", F.col("preset"), overrides)
+    return judged.withColumns({"pass": F.col("score") >= top, "confidence": confidence(F.col("score"), top)}).drop("_mode", "_grey_space", "_extra")
+
+
+def issue_totals(judged: DataFrame, *by: str, ocr: bool = False) -> DataFrame:
+    """(by, analyzer, code, n) of the fixed rules from the bits of ``fired``: rows are
+    never multiplied, one partial sum per rule and group is."""
+    rules = rules_of(ocr)
+    sums = judged.groupBy(*by).agg(*[F.sum(F.shiftright("fired", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"_{i}") for i in range(len(rules))])
+    lines = F.array(*[F.struct(F.lit(r.analyzer).alias("analyzer"), F.lit(r.code).alias("code"), F.col(f"_{i}").alias("n")) for i, r in enumerate(rules)])
+    return sums.select(*by, F.explode(lines).alias("l")).select(*by, "l.*").filter("n > 0")
 
 
 def exploded(judged: DataFrame, *keys: str) -> DataFrame:

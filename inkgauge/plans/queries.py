@@ -65,12 +65,12 @@ def _judged(spark, d, **options) -> DataFrame:
 # ── rules and scores ─────────────────────────────────────────────────────────
 def features_judged(spark, d):
     """Every feature row through all rules: the flagship."""
-    return _judged(spark, d).select("row_id", "preset", F.size("issues").alias("n_issues"), F.concat_ws(",", F.col("issues.code")).alias("codes"), "score", "pass", "confidence")
+    return _judged(spark, d).select("row_id", "preset", "n_issues", "codes", "score", "pass", "confidence")
 
 
 def meta_rules_fast(spark, d):
     j = rules.judge(rules.metadata_metrics(meta(spark, d)))
-    return j.select("image_id", "preset", F.concat_ws(",", F.col("issues.code")).alias("codes"), "score", "pass", "confidence")
+    return j.select("image_id", "preset", "codes", "score", "pass", "confidence")
 
 
 def preset_detect(spark, d):
@@ -98,7 +98,7 @@ def custom_rule(spark, d):
 
 
 def issue_counts(spark, d):
-    return rules.exploded(_judged(spark, d), "row_id", "preset").groupBy("preset", "analyzer", "code").agg(F.count(F.lit(1)).alias("n"))
+    return rules.issue_totals(_judged(spark, d), "preset")
 
 
 def issues_exploded(spark, d):
