@@ -116,8 +116,14 @@ def ocr_confidence(words: DataFrame, doc: str = "doc_id", least: int = 5, low: f
 
 
 def monotone_violations(quick: DataFrame, full: DataFrame, key: str = "image_id") -> DataFrame:
-    """Images that the quick check rejects although the full check passes them."""
-    return quick.filter(~F.col("pass")).select(key).distinct().join(full.filter("pass").select(key).distinct(), key, "left_semi")
+    """Images that the quick check rejects although the full check passes them.
+
+    The full check's rows are summed up by image before they are filtered: a
+    filter on ``pass`` itself would be moved below the rules, with all their
+    conditions written out for each bit that the score reads.
+    """
+    passed = full.groupBy(key).agg(F.bool_or("pass").alias("_passed")).filter("_passed").select(key)
+    return quick.filter(~F.col("pass")).select(key).distinct().join(passed, key, "left_semi")
 
 
 def threshold_table(spark) -> DataFrame:

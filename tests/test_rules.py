@@ -168,3 +168,12 @@ def test_models_are_trained_at_full_size(spark, monkeypatch):
     got = queries.model_folds(spark, d).collect()
     assert made == [(15, 100, 4)] * 5 + [(42, 100, 4)] * 5 + [(7, 100, 4)] * 5
     assert {(r.model, r.fold) for r in got} == {(m, k) for m in ("fast", "thorough", "preflight") for k in range(5)}
+
+
+def test_violations_keep_the_plan_small(spark):
+    full = rows(spark, {"fileSize": 10.0, "width": 1.0}, {"width": 1.0}, {"brightnessAvg": 10.0, "fileSize": 10.0, "width": 2.0}, {"width": 3.0}, {})
+    judged = rules.judge(full, "document", mode="thorough").select(F.col("width").alias("imageId"), "pass")
+    quick = spark.createDataFrame([(1.0, False), (1.0, False), (2.0, False), (3.0, True), (None, False)], "imageId double, pass boolean")
+    bad = rollup.monotone_violations(quick, judged, "imageId")
+    read = bad._jdf.queryExecution().optimizedPlan().toString().count("brightnessAvg")
+    assert read < 50 and [r.imageId for r in bad.collect()] == [1.0]
