@@ -8,14 +8,18 @@ condition goes left, a missing value right only when ``missing`` is 1.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FEATURES
+from . import boosting
 
 MAX_DEPTH = 64
 #: Nodes up to which a model is compiled to one expression.
@@ -72,19 +76,31 @@ def _flat(root: dict) -> tuple[np.ndarray, ...]:
     return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4] == 1, a[:, 5]
 
 
-def evaluate(model: dict, x: np.ndarray) -> np.ndarray:
-    """Scores of rows of features (NaN is missing), all rows through a level at a time."""
+def _ready(model: dict, width: int) -> list[tuple[np.ndarray, ...]]:
+    """(feature, condition, missing goes right, children by twice the node plus right, value) of each tree for rows of ``width`` features."""
+    out = []
+    for root in _roots(model):
+        feature, condition, left, right, away, value = _flat(root)
+        lost = feature >= width
+        left, right = np.where(lost & away, right, left), np.where(lost & ~away, left, right)
+        out.append((np.where(lost, 0, feature), condition, away, np.column_stack([left, right]).ravel(), value))
+    return out
+
+
+def evaluate(model: dict, x: np.ndarray, ready: list | None = None) -> np.ndarray:
+    """Scores of rows of features (NaN is missing), all rows through a level at a time, as many as a tree has."""
     if not isinstance(model, dict) or not isinstance(model.get("trees"), list):
         return np.full(len(x), 0.5)
     total = np.full(len(x), float(model.get("base_score", 0.5)))
-    for root in _roots(model):
-        feature, condition, left, right, away, value = _flat(root)
+    cells, first = np.ascontiguousarray(x, dtype=float).ravel(), np.arange(len(x)) * x.shape[1]
+    for feature, condition, away, child, value in _ready(model, x.shape[1]) if ready is None else ready:
         at = np.zeros(len(x), dtype=int)
         for _ in range(MAX_DEPTH + 1):
-            f = feature[at]
-            v = np.where((f >= 0) & (f < x.shape[1]), x[np.arange(len(x)), np.clip(f, 0, x.shape[1] - 1)], np.nan)
-            go_left = np.where(np.isnan(v), ~away[at], v <= condition[at])
-            at = np.where(f < 0, at, np.where(go_left, left[at], right[at]))
+            f = feature.take(at)
+            if (f < 0).all():
+                break
+            v = cells.take(first + np.maximum(f, 0))
+            at = child.take(2 * at + np.where(np.isnan(v), away.take(at), v > condition.take(at)))
         total += value[at]
     out = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if model.get("objective") == "binary:logistic" else np.clip(total, 0, 1)
     return np.where(np.isfinite(total), out, 0.5)
@@ -125,9 +141,11 @@ def scorer(model: dict, features: list[str] = FEATURES) -> Column:
     if nodes(model) <= EXPRESSION_NODES:
         return expression(model, features)
 
+    ready = _ready(model, len(features))
+
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:
-        return pd.Series(evaluate(model, np.column_stack([c.to_numpy(dtype=float) for c in cols])))
+        return pd.Series(evaluate(model, np.column_stack([c.to_numpy(dtype=float) for c in cols]), ready))
 
     return run(*[F.col(c).cast("double") for c in features])
 
@@ -144,43 +162,45 @@ def select_scorer(bundle: dict[str, dict], features: list[str] = FEATURES) -> Co
 def train(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 20, depth: int = 4, seed: int = 42) -> dict:
     """Boosted trees on present labels; missing features enter as -1. Returns a model.
 
-    The learner is Spark's distributed one; its trees are written out as the
-    nodes above, so scoring needs no learner.
+    The rows that a tree learns from are drawn by ``row_id`` where there is one, else by what is in them.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
     y = F.col(label)
-    clean = rows.filter(y.isNotNull() & ~F.isnan(y) & y.between(0.0, 1.0)).select(y.cast("double").alias("_y"), *[F.coalesce(F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)), F.lit(-1.0)).alias(c) for c in features])
-    fitted = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(VectorAssembler(inputCols=features, outputCol="_x").transform(clean))
-    trees = [[_node(t._call_java("rootNode"), w)] for t, w in zip(fitted.trees, fitted.treeWeights, strict=True)]
-    return {"trees": trees, "base_score": 0.0, "objective": "reg:squarederror", "feature_names": features, "importances": fitted.featureImportances.toArray().tolist()}
+    ids = ["row_id"] if "row_id" in rows.columns else [*features, label]
+    good = rows.filter(y.isNotNull() & ~F.isnan(y) & y.between(0.0, 1.0)).select(F.xxhash64(*ids).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_h"), y.cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
+    fitted = boosting.fit(good, features, rounds, depth, seed, getattr(rows, "_cuts", None))
+    return {"trees": fitted["trees"], "base_score": 0.0, "objective": "reg:squarederror", "feature_names": features, "importances": fitted["importances"]}
 
 
 def cross_validate(rows: DataFrame, features: list[str], key: str, label: str = "label", folds: int = 5, **options: Any) -> DataFrame:
-    """(fold, n, mae, rmse, r2): each fold of keys scored by a model of the others."""
+    """(fold, n, mae, rmse, r2): each fold of keys scored by a model of the others. The models are trained at the same time."""
     from .rollup import regression_metrics
 
     y = F.col(label)
     fold = rows.filter(y.isNotNull() & ~F.isnan(y) & y.between(0.0, 1.0)).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    out = None
-    for k in range(folds):
-        m = train(fold.filter(F.col("fold") != k), features, label, **options)
-        part = regression_metrics(fold.filter(F.col("fold") == k).withColumn("score", scorer(m, features)), label, by=["fold"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    # cut points from the same rows as the trees, but all folds in one scan
+    found = boosting.summaries(fold.select("fold", *[F.col(c).cast("double").alias(c) for c in features]), features, F.col("fold"))
+    with ThreadPoolExecutor(folds) as pool:
+        runs = []
+        for k in range(folds):
+            others = fold.filter(F.col("fold") != k)
+            others._cuts = boosting.find_cuts(found, without=k)
+            runs.append(pool.submit(train, others, features, label, **options))
+            wait(runs[-1:], timeout=0.2)  # begun in the order of the folds
+        ready = [(m | {"trees": []}, _ready(m, len(features))) for m in (r.result() for r in runs)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            no, x = b.column(0).to_numpy(), np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
+            out = np.empty(b.num_rows)
+            for k, (m, trees) in enumerate(ready):
+                at = np.flatnonzero(no == k)
+                out[at] = evaluate(m, x[at], trees)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["fold", label, "score"])
+
+    scored = fold.select("fold", y.cast("double").alias(label), *[F.col(c).cast("double") for c in features]).mapInArrow(score, f"fold long, `{label}` double, score double")
+    return regression_metrics(scored, label, by=["fold"])
 
 
 def top_features(model: dict, k: int = 10) -> list[tuple[str, float]]:
     """The k features a trained model leans on most."""
     return sorted(zip(model["feature_names"], model["importances"], strict=True), key=lambda x: -x[1])[:k]
-
-
-def _node(j: Any, weight: float) -> dict:
-    if j.getClass().getSimpleName() == "LeafNode":
-        return {"leaf": j.prediction() * weight}
-    s = j.split()
-    missing = 0 if s.threshold() >= -1 else 1  # missing values were trained as -1
-    return {"split": s.featureIndex(), "split_condition": s.threshold(), "missing": missing, "left": _node(j.leftChild(), weight), "right": _node(j.rightChild(), weight)}
-
-

@@ -177,3 +177,65 @@ def test_violations_keep_the_plan_small(spark):
     bad = rollup.monotone_violations(quick, judged, "imageId")
     read = bad._jdf.queryExecution().optimizedPlan().toString().count("brightnessAvg")
     assert read < 50 and [r.imageId for r in bad.collect()] == [1.0]
+
+
+def _blocks(data, cuts, size):
+    import numpy as np
+    import pyarrow as pa
+
+    from inkgauge.operators import boosting
+
+    def batches():
+        for at in range(0, len(data), 100):
+            part = data[at : at + 100]
+            x = [bytes(int(np.searchsorted(c, r[j])) for j, c in enumerate(cuts)) for r in part]
+            yield pa.RecordBatch.from_arrays([pa.array([r[-1] for r in part], pa.int64()), pa.array([r[-2] for r in part], pa.float64()), pa.array(x, pa.binary())], names=["h", "y", "x"])
+
+    boosting.BLOCK, old = size, boosting.BLOCK
+    try:
+        return boosting.read_blocks(batches(), len(cuts), None)
+    finally:
+        boosting.BLOCK = old
+
+
+def test_trees_equal_brute_force():
+    import numpy as np
+
+    from inkgauge.operators import boosting
+
+    r = random.Random(3)
+    data = [(float(x := r.randrange(60)), float(y := r.randrange(5)), r.choice([-1.0, 0.5]), min(1.0, x / 100 + (y == 2) * 0.3 + r.random() * 0.1), r.randrange(1 << 32)) for _ in range(900)]
+    x = np.array([d[:3] for d in data])
+    cuts = boosting.cuts_of(boosting.collapse([(x[at : at + 50].T, 1.0) for at in range(0, 900, 50)])[0])
+    assert [len(c) for c in cuts] == [31, 4, 1] and cuts[1].tolist() == [0.5, 1.5, 2.5, 3.5]
+    one = boosting.grow(_blocks(data, cuts, 1 << 16), cuts, 12, 3, 7, share=1.0)
+    assert one == boosting.grow(_blocks(random.Random(1).sample(data, 900), cuts, 128), cuts, 12, 3, 7, share=1.0)
+
+    label, score = np.array([d[3] for d in data]), np.zeros(900)
+
+    def brute(rows, target, depth, weight):
+        mean = target[rows].mean()
+        options = [(((target[rows] - mean) ** 2).sum() - sum(((target[s] - target[s].mean()) ** 2).sum() for s in (rows[x[rows, f] <= c], rows[x[rows, f] > c])), -f, -c) for f in range(3) for c in cuts[f] if 0 < (x[rows, f] <= c).sum() < len(rows)]
+        if not depth or not options or max(options)[0] < 1e-6:
+            score[rows] += mean * weight
+            return
+        _, f, c = max(options)
+        brute(rows[x[rows, -f] <= -c], target, depth - 1, weight)
+        brute(rows[x[rows, -f] > -c], target, depth - 1, weight)
+
+    for t in range(12):
+        brute(np.arange(900), label if t == 0 else 2 * (label - score), 3, 1.0 if t == 0 else 0.1)
+    got = models.evaluate({"trees": one["trees"], "base_score": 0.0}, x)
+    assert np.abs(got - np.clip(score, 0, 1)).max() < 1e-3
+    half = boosting.grow(_blocks(data, cuts, 128), cuts, 12, 3, 7)
+    assert half != one and half == boosting.grow(_blocks(data[::-1], cuts, 1 << 16), cuts, 12, 3, 7)
+
+
+def test_folds_take_few_jobs(spark):
+    r = random.Random(2)
+    data = [(f"p{i}", None if i % 9 == 0 else (x := r.random()), r.random(), 0.8 * (i % 9 != 0 and x > 0.5) + 0.1) for i in range(600)]
+    df = spark.createDataFrame(data, "path string, a double, b double, label double").repartition(40)
+    before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+    got = models.cross_validate(df, ["a", "b"], "path", rounds=20, depth=3).collect()
+    assert sorted(g.fold for g in got) == [0, 1, 2, 3, 4] and sum(g.n for g in got) == 600 and all(g.r2 > 0.9 for g in got)
+    assert max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before < 60
